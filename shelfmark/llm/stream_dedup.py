@@ -29,6 +29,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # one store a partition: without this each reserves disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one group whose bytes one task compares; larger groups are dealt to several.
 CHUNK = 1024
