@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import mixing, stream_dedup
+from shelfmark.llm import mixing, packing, stream_dedup, token_store
 from shelfmark.llm.common import documents
+from shelfmark.llm.tokenize import tokenizer_path
+
+
+def op5_token_store(spark, sf_dir):
+    return token_store.store(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2)
+
+
+def op7_sequence_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
 def op9_source_mixing(spark, sf_dir):
