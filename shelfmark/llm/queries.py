@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import mixing, packing, stream_dedup, token_store
+from shelfmark.llm import jaccard_join, mixing, packing, stream_dedup, token_store
 from shelfmark.llm.common import documents
 from shelfmark.llm.tokenize import tokenizer_path
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.link(documents(spark, sf_dir), size=5, percent=80)
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.store(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2)
 
