@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import jaccard_join, mixing, packing, stream_dedup, token_store
+from shelfmark.llm import jaccard_join, mixing, packing, stream_dedup, token_counts, token_store
 from shelfmark.llm.common import documents
 from shelfmark.llm.tokenize import tokenizer_path
 
@@ -19,6 +19,10 @@ def op7_sequence_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
+def op8_token_counts(spark, sf_dir):
+    return token_counts.count(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), limit=512)
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.select(documents(spark, sf_dir))
 
