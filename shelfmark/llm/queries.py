@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import jaccard_join, mixing, packing, stream_dedup, token_counts, token_store
+from shelfmark.llm import jaccard_join, langid, mixing, packing, stream_dedup, token_counts, token_store, toxicity
 from shelfmark.llm.common import documents
 from shelfmark.llm.tokenize import tokenizer_path
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.link(documents(spark, sf_dir), size=5, percent=80)
 
 
+def op4_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.store(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2)
 
