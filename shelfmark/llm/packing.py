@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bounded, materialise, text_slices
-from shelfmark.llm.tokenize import encoder
+from shelfmark.llm.tokenize import RUN, encoder
 
 CAPACITY, END = 1024, 2
 #: Steps in which the pieces of one length are placed at most, about.
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         seen: dict[int, int] = {}
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, offsets, data in text_slices(batch.column(1)):
+            for lo, hi, offsets, data in text_slices(batch.column(1), RUN):
                 ids, at = encode(offsets, data)
                 ids = ids.astype("<u4")
                 tail = np.array([end], "<u4").tobytes()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import scratch, text_slices
-from shelfmark.llm.tokenize import encoder
+from shelfmark.llm.tokenize import RUN, encoder
 
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 WIDTHS = 60 // COUNTS
@@ -168,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
         tail = np.array([end], np.int32)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for lo, hi, offsets, data in text_slices(batch.column(1)):
+            for lo, hi, offsets, data in text_slices(batch.column(1), RUN):
                 ids, at = encode_texts(offsets, data)
                 for name, a, b in zip(keys[lo:hi], at[:-1].tolist(), at[1:].tolist()):
                     names.append(name)
