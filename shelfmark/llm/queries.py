@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import jaccard_join, langid, mixing, packing, stream_dedup, token_counts, token_store, toxicity
+from shelfmark.llm import jaccard_join, langid, mixing, packing, pii, stream_dedup, token_counts, token_store, toxicity
 from shelfmark.llm.common import documents
 from shelfmark.llm.tokenize import tokenizer_path
 
@@ -23,6 +23,10 @@ def op5_token_store(spark, sf_dir):
     return token_store.store(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2)
 
 
+def op6_personal_data(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
+
+
 def op7_sequence_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2)
 
