@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import jaccard_join, langid, mixing, packing, pii, stream_dedup, token_counts, token_store, toxicity
+from pyspark.sql import functions as F
+
+from shelfmark.llm import ann, jaccard_join, langid, mixing, packing, pii, stream_dedup, token_counts, token_store, toxicity
 from shelfmark.llm.common import documents
 from shelfmark.llm.tokenize import tokenizer_path
 
@@ -15,6 +17,10 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.link(documents(spark, sf_dir), size=5, percent=80)
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
