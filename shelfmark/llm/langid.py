@@ -101,12 +101,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, k: int, epochs: int = 6, batch: int = 16, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 3):
+Sparse = list[tuple[np.ndarray, np.ndarray]]
+
+
+def dense(rows: Sparse) -> np.ndarray:
+    x = np.zeros((len(rows), DIM), np.float32)
+    for i, (at, value) in enumerate(rows):
+        x[i, at] = value
+    return x
+
+
+def ftrl(rows: Sparse, y: np.ndarray, k: int, epochs: int = 6, batch: int = 16, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 3):
     """Weights and bias by per-coordinate FTRL-proximal on the multinomial log loss."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    z = np.zeros((x1.shape[1], k), np.float32)
+    z = np.zeros((DIM + 1, k), np.float32)
     g2 = np.zeros_like(z)
-    penalty = np.full((x1.shape[1], 1), l1, np.float32)
+    penalty = np.full((DIM + 1, 1), l1, np.float32)
     penalty[-1] = 0  # the bias is free
 
     def weights():
@@ -115,13 +124,14 @@ def ftrl(x: np.ndarray, y: np.ndarray, k: int, epochs: int = 6, batch: int = 16,
 
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(len(x1))
+        order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
+            x = np.hstack([dense([rows[j] for j in some]), np.ones((len(some), 1), np.float32)])
             w = weights()
-            p = softmax(x1[some] @ w)
+            p = softmax(x @ w)
             p[np.arange(len(some)), y[some]] -= 1
-            g = x1[some].T @ p / len(some) * 4
+            g = x.T @ p / len(some) * 4
             sigma = (np.sqrt(g2 + g * g) - np.sqrt(g2)) / alpha
             z += g - sigma * w
             g2 += g * g
@@ -138,9 +148,14 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def texts_counts(texts: list) -> np.ndarray:
-    found = [grams(o, d)[0] for _, _, o, d in text_slices(pa.array(texts, pa.string()), 1 << 21)]
-    return np.concatenate(found) if found else np.zeros((0, DIM), np.int32)
+def texts_counts(texts: list) -> Sparse:
+    """Features and counts of each text."""
+    out = []
+    for _, _, offsets, data in text_slices(pa.array(texts, pa.string()), 1 << 20):
+        for row in grams(offsets, data)[0]:
+            at = np.flatnonzero(row)
+            out.append((at.astype(np.int16), row[at]))
+    return out
 
 
 def fit(texts: list, langs: list[str], frequency: np.ndarray | None = None, total: int = 0) -> Model | None:
@@ -148,17 +163,24 @@ def fit(texts: list, langs: list[str], frequency: np.ndarray | None = None, tota
     names = sorted(set(langs))
     if not names:
         return None
-    counts = texts_counts(texts)
+    rows = texts_counts(texts)
     if frequency is None:
-        frequency, total = (counts > 0).sum(axis=0), len(counts)
+        frequency, total = np.zeros(DIM), len(rows)
+        for at, _ in rows:
+            frequency[at] += 1
     idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
+    for i, (at, count) in enumerate(rows):
+        x = np.log1p(count).astype(np.float32) * idf[at]
+        rows[i] = (at, x / max(1e-9, float(np.sqrt((x * x).sum()))))
     y = np.array([names.index(x) for x in langs])
     order = np.random.default_rng(11).permutation(len(y))
     kept = order[: len(order) // 5] if len(order) >= 50 else order[:0]
     fitted = order[len(kept) :]
-    weights, bias = ftrl(weighted(counts[fitted], idf), y[fitted], len(names))
+    weights, bias = ftrl([rows[i] for i in fitted], y[fitted], len(names))
+    logits = [dense([rows[i] for i in kept[j : j + 64]]) @ weights + bias for j in range(0, len(kept), 64)]
     model = Model(names, idf, weights, bias)
-    model.temperature = calibrate(model.logits(counts[kept]), y[kept])
+    if logits:
+        model.temperature = calibrate(np.concatenate(logits), y[kept])
     return model
 
 
