@@ -207,8 +207,17 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame, columns: list[str], most: int, seed: int = 41) -> list:
-    """`most` rows at most, the same ones for the same rows."""
-    return docs.orderBy(F.xxhash64(F.lit(seed), "doc_id"), *[F.xxhash64(c) for c in columns]).select(columns).limit(most).collect()
+    """`most` rows at most, the same ones for the same rows: those of the smallest seeded hashes.
+
+    The hashes alone are ranked first, so that texts reach the driver only of the rows that are taken.
+    """
+    at = F.xxhash64(F.lit(seed), "doc_id")
+    least = docs.select(at.alias("at")).orderBy("at").limit(most)
+    bound = least.agg(F.max("at")).first()[0]
+    if bound is None:
+        return []
+    found = docs.where(at <= bound).select(*columns, at.alias("at"), F.xxhash64(*columns).alias("tie")).collect()
+    return [tuple(r)[:-2] for r in sorted(found, key=lambda r: (r["at"], r["tie"]))[:most]]
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Model | None:
