@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import text_slices
 
@@ -260,21 +261,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that have no letter or of whose language the model is less than `least` sure."""
-    model = train(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    place = names.index("text")
+    """docs without those that have no letter or of whose language the model is less than `least` sure.
 
-    def rows(batches):
-        model = sent.value
-        for batch in batches:
-            for lo, hi, offsets, data in text_slices(batch.column(place), 1 << 21):
+    Texts alone go to Python and a flag comes back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def sure(text: pa.Array) -> pa.Array:
+        model, keep = sent.value, np.zeros(len(text), bool)
+        if model is not None:
+            for lo, hi, offsets, data in text_slices(text, 1 << 21):
                 counts, some = grams(offsets, data)
-                if model is None:
-                    keep = np.zeros(hi - lo, bool)
-                else:
-                    keep = some & (model.probabilities(counts).max(axis=1) >= least)
-                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+                keep[lo:hi] = some & (model.probabilities(counts).max(axis=1) >= least)
+        return pa.array(keep)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.where(F.arrow_udf(sure, T.BooleanType())("text"))
