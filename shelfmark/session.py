@@ -1,10 +1,11 @@
-"""What a session needs so that Python workers can import this package."""
+"""What the package needs of a session: importable workers and a shared scratch folder."""
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +20,23 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([*paths, ROOT])
     return spark
+
+
+DEFAULT_CHECKPOINTS = "file:///tmp/checkpoints"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        spark.sparkContext.setCheckpointDir(DEFAULT_CHECKPOINTS)
+        base = DEFAULT_CHECKPOINTS
+    return f"{base.rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the scratch folder and read it back: cuts the lineage and fixes the rows."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
