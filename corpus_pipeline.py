@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2, lasting=False)
 
 
 STAGES = [

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bounded, materialise, text_slices
-from shelfmark.llm.tokenize import RUN, encoder
+from shelfmark.llm.tokenize import encoder, forget
 
 CAPACITY, END = 1024, 2
 #: Steps in which the pieces of one length are placed at most, about.
 STEPS = 64
+#: Bytes of text that a task looks at together.
+RUN = 6 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
@@ -42,8 +44,11 @@ def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [first] + [capacity] * ((n - first) // capacity)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row per piece, numbered within its partition and length."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:
+    """One row per piece, numbered within its partition and length.
+
+    lasting: the worker keeps the encoder's cache for its next task; without it, its memory is free for other stages.
+    """
 
     def cut(batches):
         encode, part = encoder(path), TaskContext.get().partitionId()
@@ -66,6 +71,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
+        if not lasting:
+            del encode
+            forget(path)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
 
@@ -124,10 +132,10 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY):
     return min(tried, key=lambda x: x[1])
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, path, capacity, end), "pack-pieces")
+    cut = materialise(pieces(docs, path, capacity, end, lasting), "pack-pieces")
     counts = cut.groupBy("part", "length").agg((F.max("nth") + 1).alias("n"))
     counts = materialise(counts, "pack-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

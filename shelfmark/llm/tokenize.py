@@ -20,7 +20,7 @@ CACHE = 700_000
 #: Bytes of text that are looked at together; more of them share their distinct pieces.
 RUN = 12 << 20
 #: Pieces that are encoded in one call.
-GROUP = 200
+GROUP, TOGETHER = 200, 16
 #: Bytes of which a joined piece may consist: no white space and no lead byte of any.
 _PLAIN = bytes(i for i in range(256) if i not in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3))
 
@@ -66,8 +66,9 @@ class Encoder:
         self.tokenizer.no_padding()
         # normalizers here turn white space into one space, which the pre-tokenizer then drops
         self.normalizer = self.tokenizer.normalizer
-        self.bare = Tokenizer.from_file(path)
+        self.bare = self.tokenizer
         if self.normalizer is not None:
+            self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -113,9 +114,7 @@ class Encoder:
         groups = [kind[i : i + GROUP] for kind in (same, other) for i in range(0, len(kind), GROUP)]
         texts = [b"".join(group).decode() for group in groups]
         easy = -(-len(same) // GROUP)
-        encodings = self.bare.encode_batch_fast(texts[:easy], add_special_tokens=False)
-        encodings += self.tokenizer.encode_batch_fast(texts[easy:], add_special_tokens=False)
-        for at, (group, text, e) in enumerate(zip(groups, texts, encodings)):
+        for at, (group, text, e) in enumerate(zip(groups, texts, self._encodings(texts, easy))):
             found = np.array(e.ids, np.int32)
             if at < easy:
                 widths = np.fromiter(map(len, group), np.int64, len(group)) - (self.normalizer is not None)
@@ -135,6 +134,12 @@ class Encoder:
             sizes.append(np.array([len(e.ids)], np.int64))
         return done + alone, np.concatenate(ids), np.concatenate(sizes)
 
+    def _encodings(self, texts: list[str], easy: int):
+        """Encodings of the texts, a few at a time: each holds far more than its ids."""
+        for part, tokenizer in ((texts[:easy], self.bare), (texts[easy:], self.tokenizer)):
+            for i in range(0, len(part), TOGETHER):
+                yield from tokenizer.encode_batch_fast(part[i : i + TOGETHER], add_special_tokens=False)
+
     def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a run in a row, and where each text's begin (and the end)."""
         at = cuts(offsets, data)
@@ -170,6 +175,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(path: str) -> None:
+    """Give the memory of a file's encoder back."""
+    _ENCODERS.pop(path, None)
+    pa.default_memory_pool().release_unused()
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file lies."""
     import public_tokenizers
