@@ -136,7 +136,7 @@ def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs with each row as often as select has copies of it."""
+    """docs with each row as often as select has copies of it; rows with null doc_id are not taken."""
     chosen = materialise(select(docs, mix).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-chosen")
     out = docs.join(bounded(chosen, chosen.count()), "doc_id").select(*docs.columns, "copies")
     return out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)

@@ -158,16 +158,23 @@ def _by_bytes(source: DataFrame, bad: DataFrame, sha: Column, digest) -> DataFra
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that dedup drops; all columns stay. Of repeated rows one stays."""
     found = materialise(dedup(docs), "dedup-result")
-    dropped = found.where("not kept").select("doc_id")
+    dropped = found.where("not kept and doc_id is not null").select("doc_id")
     left = docs.join(bounded(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
-    again = materialise(found.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-again")
+    # identifiers that stand for several rows: those with one kept twice, and null
+    again = found.where("kept and group_size > 1 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "dedup-again")
+    nameless = found.where("doc_id is null").limit(1).count()
     n = again.count()
-    if not n:
-        return left
-    again = bounded(again, n)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    )
+    if n:
+        again = bounded(again, n)
+        twice = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+        left = left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice)
+    if nameless:
+        only = found.where("kept and doc_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
+        mine = left.where("doc_id is null").withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+        mine = mine.join(only, "_sha", "left_semi").dropDuplicates(["_sha"]).select(docs.columns)
+        left = left.where("doc_id is not null").unionByName(mine)
+    return left
 
 
 ORACLE_SQL = r"""
