@@ -43,7 +43,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text arrays -----------------------------------------------------------------
 
 
-def text_slices(column: pa.Array, most: int = 4 << 20):
+def text_slices(column: pa.Array, most: int = 1 << 20):
     """Cut a string array into runs of about `most` bytes; yields (first, last, offsets, bytes).
 
     Nulls count as empty. A text longer than `most` gets a run of its own.

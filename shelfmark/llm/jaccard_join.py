@@ -237,6 +237,8 @@ def _shared(batches):
         keep = count[some] > 1
         yield _batch({"key": pa.array(key[some][keep]), "node": pa.array(node[some][keep]),
                       "lookup": pa.array(lookup[some][keep]), "n": pa.array(count[some][keep])})
+    del table, tables
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _close(percent: int):

@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import text_slices
 
+#: Bytes of text that a task looks at together; more of them share their distinct pieces.
+RUN = 4 << 20
+
 # --- the splitter ----------------------------------------------------------------
 
 #: The contractions of the pre-tokenizer's pattern are 's 't 'm 'd, 're 've and 'll.
@@ -356,7 +359,7 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             _COUNTERS[path] = Counter(path)
         counter = _COUNTERS[path]
         for batch in batches:
-            for lo, hi, offsets, data in text_slices(batch.column(1)):
+            for lo, hi, offsets, data in text_slices(batch.column(1), RUN):
                 found = count_run(counter, kinds, offsets, data)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], pa.array(np.diff(offsets)), pa.array(found), pa.array(found > limit)],
