@@ -70,7 +70,7 @@ def run_state(spark: SparkSession, arrivals_path: str, schema, files_per_trigger
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    result_schema = f"digest string, group_size bigint, best struct<points:bigint,minus_id:bigint,locator:string>, batch int"
+    result_schema = "digest string, group_size bigint, best struct<points:bigint,minus_id:bigint,locator:string>, batch int"
     if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
         return spark.createDataFrame([], result_schema).drop("batch")
     changes = spark.read.schema(result_schema).parquet(out)
@@ -87,19 +87,19 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = None) ->
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     sha = F.sha2(F.col("norm").cast("binary"), 256)
     key = digest(F.col("text_sha256")) if digest else F.col("text_sha256")
-    arrivals = materialise(
+    rows = (
         source.select(
             "doc_id",
             F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("points"),
             normalised(F.col("text")).alias("norm"),
             F.input_file_name().alias("locator"),
         )
-        .withColumn("text_sha256", sha).drop("norm").withColumn("digest", key),
-        "dedup-arrivals",
+        .withColumn("text_sha256", sha).drop("norm").withColumn("digest", key)
     )
-    state = run_state(spark, arrivals.inputFiles()[0].rsplit("/", 1)[0], arrivals.schema) if arrivals.inputFiles() else None
-    if state is None:
-        return spark.createDataFrame([], "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string")
+    path = scratch(spark, "dedup-arrivals")
+    rows.write.mode("overwrite").parquet(path)
+    arrivals = spark.read.schema(rows.schema).parquet(path)
+    state = run_state(spark, path, rows.schema)
     hits = materialise(
         state.where("group_size > 1").select("digest", "group_size", (-F.col("best.minus_id")).alias("keep_id")), "dedup-hits"
     )
