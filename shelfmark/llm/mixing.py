@@ -94,9 +94,9 @@ def budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
 def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row per document: doc_id, domain, lang, source, n_tokens, copies.
 
-    No leaf meets in one task: an epoch's order is cut into 65,536 ranges by the first four digits
-    of the seeded digest, the ranges' sums tell in which one the prefix ends, and only
-    that range is sorted.
+    No leaf meets in one task: an epoch's order is cut into 256 ranges by the first two digits of the
+    seeded digest, and the one in which the prefix ends into 256 again; sums of ranges tell which,
+    and only the last of them is sorted.
     """
     tokens = materialise(
         docs.select(
@@ -114,14 +114,10 @@ def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .withColumn("place", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole"), F.col("doc_id")).cast("binary")))
         .withColumn("bin", F.substring("place", 1, 4))
     )
-    sums = placed.groupBy(*LEVELS, "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = (
-        sums.withColumn("upto", F.sum("in_bin").over(run)).where("upto > rest")
-        .groupBy(*LEVELS).agg(F.min(F.struct("bin", F.expr("upto - in_bin").alias("before"))).alias("end"))
-        .select(*LEVELS, F.col("end.bin").alias("end_bin"), F.col("end.before").alias("before"))
-    )
-    ends = materialise(ends, "mix-ends")
+    ends = placed.select(*LEVELS, F.lit("").alias("end_bin"), F.lit(0).cast("bigint").alias("before")).distinct()
+    for digits in (2, 4):
+        inside = placed.join(bounded(ends, n), list(LEVELS)).where(F.substring("place", 1, digits - 2) == F.col("end_bin"))
+        ends = materialise(_ends(inside.withColumn("part", F.substring("place", 1, digits))), "mix-ends")
     keyed = placed.join(bounded(ends, n), list(LEVELS), "left")
     kept = ["doc_id", *LEVELS, "n_tokens"]
     clear = keyed.where("end_bin is null or bin <> end_bin").select(
@@ -135,6 +131,15 @@ def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return found.select(*kept, F.least("copies", F.lit(mix.max_epochs)).cast("bigint").alias("copies"))
 
 
+def _ends(rows: DataFrame) -> DataFrame:
+    """Of each leaf the part of its order in which the running sum passes rest, and the sum before it."""
+    sums = rows.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("in_part"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    run = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = sums.withColumn("upto", F.col("before") + F.sum("in_part").over(run)).where("upto > rest")
+    end = passed.groupBy(*LEVELS).agg(F.min(F.struct("part", F.expr("upto - in_part").alias("before"))).alias("end"))
+    return end.select(*LEVELS, F.col("end.part").alias("end_bin"), F.col("end.before").alias("before"))
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """docs with each row as often as select has copies of it; rows with null doc_id are not taken."""
     chosen = materialise(select(docs, mix).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-chosen")
