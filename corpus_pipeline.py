@@ -24,7 +24,13 @@ from shelfmark.llm.tokenize import tokenizer_path
 MIX = mixing.Mix(percent=80, max_epochs=1)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Fewer whole texts at a time between the JVM and Python: stages share executors, and their workers live on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return langid.accepted(docs)
 
 
@@ -33,6 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
@@ -41,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2, lasting=False)
 
 

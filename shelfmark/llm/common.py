@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import ctypes.util
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINTS = "file:///tmp/checkpoints"
+from shelfmark.session import scratch  # noqa: F401
+from shelfmark.session import written as materialise  # noqa: F401
+
 #: Rows up to which a key table of a few dozen bytes a row is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        spark.sparkContext.setCheckpointDir(DEFAULT_CHECKPOINTS)
-        base = DEFAULT_CHECKPOINTS
-    return f"{base.rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the scratch folder and read it back: cuts the lineage and fixes the rows."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows allow it, else as it is."""
     return F.broadcast(df) if rows <= most else df
@@ -65,6 +52,32 @@ def text_slices(column: pa.Array, most: int = 1 << 20):
         first = last
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL(ctypes.util.find_library("c"))
+    except OSError:
+        return None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system. Python workers outlive their tasks and count as the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(rows):
+    """A function over Arrow batches that tidies up when its task is done."""
+
+    def run(batches):
+        yield from rows(batches)
+        tidy()
+
+    return run
+
+
 _RNG = np.random.default_rng(20240229)
 #: One random 64-bit number a byte; A-Z share those of a-z.
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)

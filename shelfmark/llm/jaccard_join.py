@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import BROADCAST_ROWS, bounded, materialise, mix, span_hash, text_slices, words
+from shelfmark.llm.common import BROADCAST_ROWS, bounded, materialise, mix, span_hash, text_slices, tidied, words
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.5
@@ -181,7 +181,7 @@ def _summary(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 yield _batch({"doc_id": names[lo:hi], "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()),
                               "check": pa.array(check, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return docs.mapInArrow(rows, "doc_id bigint, n bigint, node bigint, check bigint, bits binary")
+    return docs.mapInArrow(tidied(rows), "doc_id bigint, n bigint, node bigint, check bigint, bits binary")
 
 
 def _signature_rows(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _signature_rows(docs: DataFrame, size: int, percent: int, seed: int) -> Data
                                   "node": pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
                                   "lookup": pa.array(np.repeat(np.array(marks, np.int32), sizes))})
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(rows, "key bigint, node bigint, lookup int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(tidied(rows), "key bigint, node bigint, lookup int")
 
 
 def _shared(batches):
@@ -237,8 +237,6 @@ def _shared(batches):
         keep = count[some] > 1
         yield _batch({"key": pa.array(key[some][keep]), "node": pa.array(node[some][keep]),
                       "lookup": pa.array(lookup[some][keep]), "n": pa.array(count[some][keep])})
-    del table, tables
-    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _close(percent: int):
@@ -302,11 +300,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perc
                 yield _batch({"node": pa.array([x[0] for x in found], pa.int64()),
                               "elements": pa.array([x[1].tobytes() for x in found], pa.binary())})
 
-    sets = some.select("text").mapInArrow(rows, "node bigint, elements binary")
+    sets = some.select("text").mapInArrow(tidied(rows), "node bigint, elements binary")
     # repeated doc_ids may bring other texts, and equal ones from several tasks
     sets = sets.join(bounded(wanted.select("node"), n), "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(sets, "join-sets")
-    return materialise(_sides(pairs, sets, ["elements"]).mapInArrow(_linked(percent), "x bigint, y bigint"), "join-links")
+    return materialise(_sides(pairs, sets, ["elements"]).mapInArrow(tidied(_linked(percent)), "x bigint, y bigint"), "join-links")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -391,7 +389,7 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, seed: int =
     if nodes.where("clash").limit(1).count():
         return link(docs, size, percent, seed + 1)
     rows = _signature_rows(docs, size, percent, seed).repartition("key")
-    shared = materialise(rows.mapInArrow(_shared, "key bigint, node bigint, lookup int, n bigint"), "join-shared")
+    shared = materialise(rows.mapInArrow(tidied(_shared), "key bigint, node bigint, lookup int, n bigint"), "join-shared")
     # the allocation: each lookup of a set keeps its rarest segments
     rarest_last = Window.partitionBy("node", "lookup").orderBy(F.col("n").desc(), F.col("key"))
     kept = shared.withColumn("place", F.row_number().over(rarest_last)).where("place > (lookup & 16777215)")
@@ -404,7 +402,7 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, seed: int =
     full = materialise(full.join(met, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "join-bits")
     close = "x bigint, y bigint"
     stars = buckets.where("head <> node").select(F.col("head").alias("x"), F.col("node").alias("y")).distinct()
-    stars = materialise(_sides(stars, full, ["n", "bits"]).mapInArrow(_close(percent), close), "join-stars")
+    stars = materialise(_sides(stars, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), close), "join-stars")
     links = _verify(stars, docs, nodes, size, percent, seed)
     roots = materialise(components(links), "join-roots")
     # buckets of several components
@@ -416,11 +414,11 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, seed: int =
     open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-    coarse = full.mapInArrow(_coarse, "node bigint, n bigint, coarse binary")
+    coarse = full.mapInArrow(tidied(_coarse), "node bigint, n bigint, coarse binary")
     open_ = open_.join(coarse, "node").select("key", "i", "j", "block", "node", "root", "n", "coarse")
-    across = open_.repartition("key", "i", "j").mapInArrow(_across(percent), close).distinct()
+    across = open_.repartition("key", "i", "j").mapInArrow(tidied(_across(percent)), close).distinct()
     across = materialise(across, "join-across")
-    across = materialise(_sides(across, full, ["n", "bits"]).mapInArrow(_close(percent), close), "join-across-close")
+    across = materialise(_sides(across, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), close), "join-across-close")
     more = _verify(across, docs, nodes, size, percent, seed)
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more))

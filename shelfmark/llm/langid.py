@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import text_slices
+from shelfmark.llm.common import text_slices, tidied, tidy
 
 DIM = 1 << 13
 #: Documents from which the weights are fitted and the temperature is calibrated, at most.
@@ -197,7 +197,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["feature", "n"])
 
-    found = docs.select("text").mapInArrow(rows, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(tidied(rows), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     frequency, total = np.zeros(DIM), 0
     for feature, n in found:  # DIM + 1 rows at most
         if feature < 0:
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 )
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
-    return docs.mapInArrow(rows, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(tidied(rows), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -273,6 +273,8 @@ def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
             for lo, hi, offsets, data in text_slices(text, 1 << 21):
                 counts, some = grams(offsets, data)
                 keep[lo:hi] = some & (model.probabilities(counts).max(axis=1) >= least)
+            del counts
+        tidy()
         return pa.array(keep)
 
     return docs.where(F.arrow_udf(sure, T.BooleanType())("text"))

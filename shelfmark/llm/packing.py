@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded, materialise, text_slices
+from shelfmark.llm.common import bounded, materialise, text_slices, tidied
 from shelfmark.llm.tokenize import encoder, forget
 
 CAPACITY, END = 1024, 2
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             del encode
             forget(path)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(tidied(cut), PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rising: bool = False):
@@ -162,5 +162,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, l
             )
 
     return ranked.mapInArrow(
-        place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+        tidied(place), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )

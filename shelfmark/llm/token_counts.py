@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import text_slices
+from shelfmark.llm.common import text_slices, tidied
 
 #: Bytes of text that a task looks at together; more of them share their distinct pieces.
 RUN = 4 << 20
@@ -367,4 +367,4 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 )
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(rows, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.mapInArrow(tidied(rows), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import scratch, text_slices
+from shelfmark.llm.common import scratch, text_slices, tidied
 from shelfmark.llm.tokenize import RUN, encoder
 
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).repartitionByRange("doc_id")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(frames, FRAMES).write.mode("overwrite").parquet(path)
+    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(tidied(frames), FRAMES).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -205,7 +205,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     based = frames.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("first")).alias("base"), "payload")
-    return based.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return based.mapInArrow(tidied(documents), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:

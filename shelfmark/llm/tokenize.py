@@ -176,9 +176,8 @@ def encoder(path: str) -> Encoder:
 
 
 def forget(path: str) -> None:
-    """Give the memory of a file's encoder back."""
+    """Drop a file's encoder and its cache."""
     _ENCODERS.pop(path, None)
-    pa.default_memory_pool().release_unused()
 
 
 def tokenizer_path(name: str) -> str:
