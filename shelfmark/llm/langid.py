@@ -217,7 +217,7 @@ def sample(docs: DataFrame, columns: list[str], most: int, seed: int = 41) -> li
     bound = least.agg(F.max("at")).first()[0]
     if bound is None:
         return []
-    found = docs.where(at <= bound).select(*columns, at.alias("at"), F.xxhash64(*columns).alias("tie")).collect()
+    found = docs.where(at <= bound).select(*columns, at.alias("at"), F.xxhash64(*columns).alias("tie")).toLocalIterator()
     return [tuple(r)[:-2] for r in sorted(found, key=lambda r: (r["at"], r["tie"]))[:most]]
 
 
@@ -227,7 +227,10 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Model | None:
     if not rows:
         return None
     frequency, total = frequencies(learnable)
-    return fit([r[0] for r in rows], [r[1] for r in rows], frequency, total)
+    model = fit([r[0] for r in rows], [r[1] for r in rows], frequency, total)
+    del rows
+    tidy()  # the driver lives on too
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded, materialise, text_slices, tidied
+from shelfmark.llm.common import bounded, materialise, text_slices, tidied, tidy
 from shelfmark.llm.tokenize import encoder, forget
 
 CAPACITY, END = 1024, 2
@@ -128,8 +128,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY):
     """The plan with fewer bins of those by falling and by rising length, each in coarse and in fine steps."""
-    tried = [plan(histogram, capacity, steps, rising) for steps in (STEPS, 4 * STEPS) for rising in (False, True)]
-    return min(tried, key=lambda x: x[1])
+    best = None
+    for steps in (STEPS, 4 * STEPS):
+        for rising in (False, True):
+            found = plan(histogram, capacity, steps, rising)
+            if best is None or found[1] < best[1]:
+                best = found
+    return best
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:
@@ -143,6 +148,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, l
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     rows, _ = best_plan(histogram, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    tidy()  # the driver lives on too
     sent = spark.sparkContext.broadcast(rows)  # bounded by the number of lengths and steps
     ranked = cut.join(counts, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")
