@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import scratch  # noqa: F401
@@ -86,18 +86,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_POWERS: list[np.ndarray] = []
+#: Bytes that are hashed together; longer texts are hashed in pieces that end at white space.
+PIECE = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2^64, at least n of them."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = []
-        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
-            a = np.full(max(n, 1 << 16), base, np.uint64)
-            a[0] = 1
-            _POWERS.append(np.cumprod(a))
-    return _POWERS[0], _POWERS[1]
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse modulo 2^64, for the bytes of one piece."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        a = np.full(PIECE + 1, base, np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,13 +111,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts: starts, ends, prefix sums, first word of each text.
+def word_hashes(offsets: np.ndarray, data: np.ndarray, stems: tuple[int, ...] = ()):
+    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts, A-Z lower-cased, as 64-bit hashes.
 
-    The prefix sums give the hash of any byte range with A-Z lower-cased: see span_hash.
+    Returns the hashes in order, for each of `stems` the hashes of the words' first so many bytes, and the
+    number of words before each text and in all. A long text is hashed piece by piece, so that no
+    table grows with it.
     """
+    if len(data) <= PIECE:
+        return _piece(offsets, data, stems)
+    if len(offsets) > 2:  # text by text
+        parts = [word_hashes(np.array([0, b - a]), data[a:b], stems) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        first = np.append(0, np.cumsum([len(x[0]) for x in parts]))
+    else:
+        parts, a, n = [], 0, len(data)
+        while a < n:
+            b = _piece_end(data, a)
+            whole = np.array([0, b - a])
+            parts.append(_piece(whole, data[a:b], stems) if b - a <= PIECE else _long_word(data[a:b], stems))
+            a = b
+        first = np.array([0, sum(len(x[0]) for x in parts)])
+    return np.concatenate([x[0] for x in parts]), [np.concatenate([x[1][k] for x in parts]) for k in range(len(stems))], first
+
+
+def _piece_end(data: np.ndarray, a: int) -> int:
+    """Where a piece that begins at a ends: behind the last white space in reach, else before the next, else at the end."""
+    b = a + PIECE
+    if b >= len(data):
+        return len(data)
+    spaces = np.flatnonzero(_SPACE[data[a:b]])
+    if len(spaces):
+        return a + int(spaces[-1]) + 1
+    while b < len(data):
+        spaces = np.flatnonzero(_SPACE[data[b : b + PIECE]])
+        if len(spaces):
+            return b + int(spaces[0])
+        b += PIECE
+    return len(data)
+
+
+def _piece(offsets: np.ndarray, data: np.ndarray, stems: tuple[int, ...]):
     n = len(data)
-    up, _ = _powers(n + 1)
+    up, down = _powers()
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     inside = ~_SPACE[data]
@@ -127,11 +163,49 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
         cuts = offsets[(offsets > 0) & (offsets < n)]
         begins[cuts] = inside[cuts]
         ends[cuts - 1] = inside[cuts - 1]
-    starts = np.flatnonzero(begins)
-    return starts, np.flatnonzero(ends) + 1, sums, np.searchsorted(starts, offsets)
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+    def hashed(stops):
+        return mix((sums[stops] - sums[starts]) * down[starts])
+
+    return hashed(ends), [hashed(np.minimum(ends, starts + k)) for k in stems], np.searchsorted(starts, offsets)
+
+
+def _long_word(data: np.ndarray, stems: tuple[int, ...]):
+    """The hashes of a single word that is longer than a piece."""
+    up, _ = _powers()
+    total, lead, step = 0, 1, pow(_STEP, PIECE, 1 << 64)
+    for a in range(0, len(data), PIECE):
+        some = data[a : a + PIECE]
+        total = (total + int((_BYTE[some] * up[: len(some)]).sum(dtype=np.uint64)) * lead) & _MASK
+        lead = lead * step & _MASK
+    short = [np.array([(_BYTE[data[:k]] * up[:k]).sum(dtype=np.uint64)]) for k in stems]
+    return mix(np.array([total], np.uint64)), [mix(x) for x in short], np.array([0, 1])
+
+
+# --- names of helper columns ---------------------------------------------------------
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, dropped: DataFrame, rows: int) -> DataFrame:
+    """docs without the rows whose doc_id (null equals null) and text are in dropped (doc_id, text_key).
+
+    text_key is text_key() of the text: rows that share an identifier stand or fall by their own text.
+    """
+    key, name, other = (unused(docs, x) for x in ("_text_key", "_dropped_id", "_dropped_key"))
+    dropped = dropped.select(F.col("doc_id").cast("bigint").alias(name), F.col("text_key").alias(other)).distinct()
+    left = docs.withColumn(key, text_key(F.col("text")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.col(key) == F.col(other))
+    return left.join(bounded(dropped, rows), same, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the byte ranges [starts, ends)."""
-    _, down = _powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def text_key(text: Column) -> Column:
+    """A 64-bit key that tells apart the texts of one identifier; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

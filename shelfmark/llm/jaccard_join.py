@@ -7,19 +7,21 @@ Sets x and y of similarity p % or more differ in at most (100 - p) (|x| + |y|) /
 elements. Hashing deals the universe into m segments, m fixed by size band; a set is looked up
 in its own band and in the lower bands that can hold a partner.
 
-* In bands of long sets m exceeds the largest number of differing elements, so that linked sets
-  agree on at least m - k(x, y) segments. Which ones to pay for is decided by cost: each set skips
-  its most frequent segments, first the empty ones, as many as that surplus allows, and
-  keeps the k(x) + 1 rarest. The rarest segment on which two linked sets agree is kept by both.
-* In bands of short sets m is half that number and a segment is indexed with all its
-  one-deletion neighbours, so that segments which differ by one element still meet.
+* In bands of short sets a segment is indexed with all its one-deletion neighbours, so that segments which
+  differ by one element still meet: a whole segment is worth two differing elements, its exact key one.
+* In bands of long sets m exceeds the largest number of differing elements, and segments meet when equal.
+
+Which segments to pay for is decided by cost: m leaves a surplus, for which each set gives up keys, those of
+empty segments first and then those that most sets have, by their counted frequency. A short set gives up the
+deletions of a segment for one, the segment for two. The rarest key that two linked sets share is kept by both.
 
 Sets that meet are compared by parity bitmaps (each differing element flips one bit, so the
 bitmaps never differ in more bits than the sets in elements); pairs that pass are verified
 on the sets themselves. First each set of a bucket meets the bucket's smallest one; verified links give
-components. Buckets that still hold several components compare their members across components, in
-blocks of bounded size. Sets of one component need no further comparison, so copies and
-near copies are never expanded into all pairs, and no link between components is lost.
+components. Buckets that still hold several components then compare members across components, in
+blocks of bounded size, and send the nearest pairs of each two components, one at first and more in later
+rounds, until no two components have a pair that was not tested. Sets of one component need no further
+comparison, so copies and near copies are never expanded into all pairs, and no link between components is lost.
 
 Equal sets are one node, named by a 64-bit hash; a second hash and the size check that no two sets share a
 name (otherwise the join starts again with another seed). Elements are 64-bit hashes of the five
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import BROADCAST_ROWS, bounded, materialise, mix, span_hash, text_slices, tidied, words
+from shelfmark.llm.common import bounded, materialise, mix, text_key, text_slices, tidied, without, word_hashes
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.5
@@ -55,8 +57,8 @@ _ODD = [np.uint64(x | 1) for x in np.random.default_rng(5).integers(1 << 40, 1 <
 
 def shingle_sets(offsets, data, size: int = WORDS, seed: int = 0):
     """The sorted set of each text of a run, as 64-bit hashes."""
-    starts, ends, sums, first = words(offsets, data)
-    name = span_hash(sums, starts, ends) ^ np.uint64(seed)
+    name, _, first = word_hashes(offsets, data)
+    name = name ^ np.uint64(seed)
     runs = np.zeros(0, np.uint64)
     if len(name) >= size:
         runs = name[: len(name) - size + 1] * _ODD[0]
@@ -114,9 +116,17 @@ def band_edges(upto: int) -> tuple[int, ...]:
     return tuple(edges)
 
 
+#: Bands whose segments are indexed with their one-deletion neighbours.
+SHORT_BANDS = sum(1 for top in band_edges(SHORT)[1:] if top <= SHORT)
+
+
 @lru_cache(maxsize=100_000)
-def lookups(n: int, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
-    """Where a set of n elements goes: (band, segments, segments it may skip, by deletion)."""
+def lookups(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """Where a set of n elements goes: (band, segments, what it may leave out).
+
+    A segment that is left out costs two in a short band, one in others; its deletions alone cost one.
+    Bands in which a linked set would have to be equal are left out, as equal sets are one node.
+    """
     edges = band_edges(1 << max(1, n).bit_length())
     least = -(-percent * n // 100)
     own = next(i for i in range(len(edges) - 1) if edges[i] < n <= edges[i + 1])
@@ -125,19 +135,27 @@ def lookups(n: int, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
         top = edges[band + 1]
         if band < own and top < least:
             break
-        worst = most_different(top, 100 * top // percent, percent)
         partner = 100 * n // percent if band == own else top  # the largest partner met in this band
-        if top <= SHORT:
-            out.append((band, -(-(worst + 1) // 2), 0, True))
+        differ = most_different(n, partner, percent)
+        if not differ:
+            continue
+        worst = most_different(top, 100 * top // percent, percent)
+        if band < SHORT_BANDS:
+            out.append((band, worst + 2, 2 * (worst + 2) - differ - 1))
         else:
             segments = worst + 1 + max(2, -(-3 * top // 100))
-            out.append((band, segments, segments - most_different(n, partner, percent) - 1, False))
+            out.append((band, segments, segments - differ - 1))
     return out
 
 
+# Marks of signature rows: band in bits 24 to 29; in short bands a flag for keys of empty segments,
+# one for whole segments, the segment's number and what may be left out, in others the latter alone.
+HOT, EMPTY, WHOLE = 1 << 30, 1 << 17, 1 << 16
+
+
 def signatures(s: np.ndarray, percent: int = PERCENT):
-    """Per lookup of a set: keys, and its band with the number of keys it may skip."""
-    for band, m, spare, deletion in lookups(len(s), percent):
+    """Per lookup of a set: keys and their marks."""
+    for band, m, spare in lookups(len(s), percent):
         salt = mix(np.arange(band * 1_000_003 + 1, band * 1_000_003 + 1 + m, dtype=np.uint64))
         segment = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
         first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
@@ -145,15 +163,27 @@ def signatures(s: np.ndarray, percent: int = PERCENT):
         element = mix(s ^ _ODD[61])
         total = np.zeros(m, np.uint64)
         total[present] = np.add.reduceat(element, first)
-        if deletion:
-            keys = np.concatenate([mix(total + salt), mix(total[segment] - element + salt[segment])])
-            skip = 0
-        else:
-            skip = spare - (m - len(present))
-            # a set with more empty segments than it may skip is looked up by those too
-            keys = mix(total + salt) if skip < 0 else mix(total[present] + salt[present])
-            skip = max(0, skip)
-        yield keys, (band << 24) | skip
+        if band >= SHORT_BANDS:
+            spare -= m - len(present)
+            # a set with more empty segments than it may leave out is looked up by those too
+            keys = mix(total + salt) if spare < 0 else mix(total[present] + salt[present])
+            yield keys, np.full(len(keys), (band << 24) | max(0, spare), np.int32)
+            continue
+        size = np.bincount(segment, minlength=m)
+        keys = np.concatenate([mix(total + salt), mix(total[segment] - element + salt[segment])])
+        of = np.concatenate([np.arange(m), segment])
+        whole = np.arange(len(keys)) < m
+        empty = np.where(whole, size[of] == 0, size[of] == 1)
+        # keys of empty segments are the first to go, in an order that all sets share
+        gone = np.flatnonzero(empty)
+        gone = gone[np.argsort(keys[gone])]
+        cost = np.cumsum(1 + whole[gone])
+        fits = int(np.searchsorted(cost, spare, side="right"))
+        spare = spare - int(cost[-1]) if len(cost) and fits == len(cost) else 0 if len(cost) else spare
+        keep = np.ones(len(keys), bool)
+        keep[gone[:fits]] = False
+        marks = (band << 24) | spare | (of << 8) | whole * WHOLE | empty * EMPTY
+        yield keys[keep], marks[keep].astype(np.int32)
 
 
 # --- the join --------------------------------------------------------------------
@@ -178,17 +208,43 @@ def _summary(docs: DataFrame, size: int, seed: int) -> DataFrame:
                     out.append((len(s), node, check, None if node in seen else bitmap(s)))
                     seen.add(node)
                 n, node, check, bits = zip(*out)
-                yield _batch({"doc_id": names[lo:hi], "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()),
-                              "check": pa.array(check, pa.int64()), "bits": pa.array(bits, pa.binary())})
+                yield _batch({"doc_id": names[lo:hi], "text_key": batch.column(2)[lo:hi], "n": pa.array(n, pa.int64()),
+                              "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return docs.mapInArrow(tidied(rows), "doc_id bigint, n bigint, node bigint, check bigint, bits binary")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(
+        tidied(rows), "doc_id bigint, text_key bigint, n bigint, node bigint, check bigint, bits binary"
+    )
+
+
+class _Frequent:
+    """Finds the keys that a task sends very often, in bounded memory.
+
+    Counters shared by many keys single out suspects; those alone are counted exactly. A key is called
+    frequent from its third row after that on, so that its first rows always take the common way.
+    """
+
+    LIMIT, COUNTERS = 64, 1 << 20
+
+    def __init__(self):
+        self.counters, self.exact = np.zeros(self.COUNTERS, np.int32), {}
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys & np.uint64(self.COUNTERS - 1)).astype(np.int64)
+        np.add.at(self.counters, at, 1)
+        out = np.zeros(len(keys), bool)
+        for i in np.flatnonzero(self.counters[at] > self.LIMIT).tolist():
+            k = int(keys[i])
+            n = self.exact.get(k, 0)
+            out[i] = n >= 2
+            self.exact[k] = n + 1
+        return out
 
 
 def _signature_rows(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """(key, node, lookup) of all distinct sets of each task."""
+    """(key, node, mark) of all distinct sets of each task."""
 
     def rows(batches):
-        seen = set()
+        seen, frequent = set(), _Frequent()
         for batch in batches:
             for _, _, offsets, data in text_slices(batch.column(0)):
                 keys, nodes, marks, sizes = [], [], [], []
@@ -205,38 +261,62 @@ def _signature_rows(docs: DataFrame, size: int, percent: int, seed: int) -> Data
                         marks.append(mark)
                         sizes.append(len(k))
                 if keys:
-                    yield _batch({"key": pa.array(np.concatenate(keys).view(np.int64)),
-                                  "node": pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
-                                  "lookup": pa.array(np.repeat(np.array(marks, np.int32), sizes))})
+                    key, mark = np.concatenate(keys), np.concatenate(marks)
+                    mark[frequent(key)] |= HOT
+                    yield _batch({"key": pa.array(key.view(np.int64)), "node": pa.array(np.repeat(np.array(nodes, np.int64), sizes)), "mark": pa.array(mark)})
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(tidied(rows), "key bigint, node bigint, lookup int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(tidied(rows), "key bigint, node bigint, mark int")
 
 
 def _shared(batches):
-    """Of a partition's rows, which holds all rows of its keys, those whose key several nodes share."""
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
-        return
-    table = pa.concat_tables(tables).combine_chunks()
-    key, node, lookup = (table.column(i).to_numpy() for i in range(3))
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    same = sorted_key[1:] == sorted_key[:-1]
-    order = order[np.append(False, same) | np.append(same, False)]
-    order = order[np.lexsort((lookup[order], node[order], key[order]))]
-    key, node, lookup = key[order], node[order], lookup[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (lookup[1:] != lookup[:-1]))[: len(key)]
-    key, node, lookup = key[new], node[new], lookup[new]
-    if not len(key):
-        return
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(first, len(key)))
-    count = np.repeat(count, count)
-    for at in range(0, len(key), 100_000):
-        some = slice(at, at + 100_000)
-        keep = count[some] > 1
-        yield _batch({"key": pa.array(key[some][keep]), "node": pa.array(node[some][keep]),
-                      "lookup": pa.array(lookup[some][keep]), "n": pa.array(count[some][keep])})
+    """Of sorted rows those whose key another row has, or that are marked frequent; equal rows once.
+
+    Holds no more than a batch and the row before it.
+    """
+    last, sent = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if last is not None:
+            columns = [np.append(a, b) for a, b in zip(last, columns)]
+        key, node, mark = columns
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (mark[1:] != mark[:-1]))
+        key, node, mark = key[new], node[new], mark[new]
+        same = key[1:] == key[:-1]
+        out = np.append(False, same) | np.append(same, False) | (mark >= HOT)
+        held = last is not None and sent
+        last, sent = [x[-1:] for x in (key, node, mark)], bool(out[-1])
+        if held:
+            out[0] = False
+            sent = sent or len(out) == 1
+        if out.any():
+            yield _batch({"key": pa.array(key[out]), "node": pa.array(node[out]), "mark": pa.array(mark[out] & (HOT - 1))})
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """(key, node): of each lookup the rows that its set keeps, the most frequent keys left out.
+
+    Linked sets share a key in every segment in which they are near, and the rarest of those keys is the last
+    that either of them could leave out. All order keys alike: those of empty segments, then by
+    how many sets have them. What a set may leave out in all is less than what those segments cost.
+    """
+    band = F.shiftright("mark", 24)
+    by = Window.partitionBy("node", "band").orderBy(F.col("n").desc(), F.col("key"))
+    long = shared.where(band >= SHORT_BANDS).withColumn("band", band).withColumn("cost", F.row_number().over(by))
+    long = long.where("cost > (mark & 16777215)")
+    short = shared.where(band < SHORT_BANDS).select(
+        "*", band.alias("band"), F.expr("(mark >> 8) & 255").alias("segment"), F.expr(f"mark & {WHOLE} <> 0").alias("whole"),
+        F.expr(f"mark & {EMPTY} <> 0").alias("empty"),
+    )
+    order = [F.col("empty").desc(), F.col("n").desc(), F.col("key")]
+    earlier = Window.partitionBy("node", "band", "segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("node", "band").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a segment costs two once it is left out whole, and one as soon as a deletion of it is
+    paid = F.coalesce(F.max(F.when(F.col("whole"), 2).otherwise(1)).over(earlier), F.lit(0))
+    short = short.withColumn("step", F.greatest(F.when(F.col("whole"), 2).otherwise(1) - paid, F.lit(0)))
+    short = short.withColumn("cost", F.sum("step").over(upto)).where("cost > (mark & 255)")
+    return long.select("key", "node").unionByName(short.select("key", "node")).distinct()
 
 
 def _close(percent: int):
@@ -316,10 +396,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialise(edges.where("x <> y").distinct(), "components")
     for _ in range(most_rounds):
         both = edges.union(edges.select("y", "x")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = _least(both, F.least("u", F.min("v")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        down = large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = materialise(large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), "components-large")
+        least = _least(down, F.min("v"))
         small = down.join(least, "u")
         small = small.select(F.col("v").alias("x"), F.col("m").alias("y")).union(least.select("u", "m")).where("x <> y").distinct()
         found = materialise(small, "components")
@@ -332,41 +412,85 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root")).union(edges.select("y", "y").distinct())
 
 
-def _across(percent: int):
-    """Pairs of different components within buckets, or between two blocks of one, by coarse bitmaps."""
+def _least(pairs: DataFrame, least) -> DataFrame:
+    """(u, m), written: both sides of the join with it come from exchanges, so that a hub's rows are split."""
+    found = materialise(pairs.groupBy("u").agg(least.alias("m")), "components-least")
+    return bounded(found, found.count())
 
-    def rows(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        table = pa.concat_tables(tables).combine_chunks()
-        if not table.num_rows:
-            return
-        key, i, j, block, node, root, n = (table.column(k).to_numpy() for k in range(7))
-        order = np.lexsort((node, block, j, i, key))
-        key, i, j, block, node, root, n = (a[order] for a in (key, i, j, block, node, root, n))
-        bits = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(-1, COARSE // 64)[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-        bounds = np.append(np.flatnonzero(new), len(key)).tolist()
+
+def _groups(batches, keys: int):
+    """Tables of the rows with equal values in the first columns, out of sorted batches."""
+    parts: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        if parts and any(parts[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys)):
+            yield pa.concat_tables(parts).combine_chunks()
+            parts = []
+        new = np.zeros(table.num_rows - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(block[a:b] == i[a])
-            right = left if i[a] == j[a] else a + np.flatnonzero(block[a:b] == j[a])
-            for at in range(0, len(left), 256):
-                rows_ = left[at : at + 256]
-                far = root[rows_][:, None] != root[right][None, :]
-                if i[a] == j[a]:
-                    far &= rows_[:, None] < right[None, :]
-                p, q = np.nonzero(far)
-                p, q = rows_[p], right[q]
-                near = 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
-                p, q = p[near], q[near]
-                for k in range(0, len(p), 200_000):
-                    u, v = p[k : k + 200_000], q[k : k + 200_000]
-                    differ = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
-                    good = differ <= most_different(n[u], n[v], percent)
-                    x, y = node[u[good]], node[v[good]]
-                    if len(x):
-                        yield _batch({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
+            parts.append(table.slice(a, b - a))
+            if b < table.num_rows:
+                yield pa.concat_tables(parts).combine_chunks()
+                parts = []
+    if parts:
+        yield pa.concat_tables(parts).combine_chunks()
+
+
+def _best(found: list, most: int) -> list:
+    """Of candidates (roots a and b, difference, x, y) the `most` nearest of each pair of roots, and which pairs have more."""
+    a, b, differ, x, y, cut = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((y, x, differ, b, a))
+    a, b, differ, x, y, cut = (c[order] for c in (a, b, differ, x, y, cut))
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    count = np.diff(np.append(first, len(a)))
+    cut = np.repeat(np.logical_or.reduceat(cut, first) | (count > most), count)
+    keep = np.arange(len(a)) - np.repeat(first, count) < most
+    return [tuple(c[keep] for c in (a, b, differ, x, y, cut))]
+
+
+def _across(percent: int, most: int):
+    """Pairs of different components within buckets, or between two blocks of one, by coarse bitmaps.
+
+    For each two components the `most` nearest pairs; cut says that there are more.
+    """
+
+    def pairs(table: pa.Table):
+        _, i, j, block, node, root, n = (table.column(k).to_numpy() for k in range(7))
+        bits = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(-1, COARSE // 64)
+        same = i[0] == j[0]
+        left = np.flatnonzero(block == i[0])
+        right = left if same else np.flatnonzero(block == j[0])
+        found: list = []
+        for at in range(0, len(left), 128):
+            some = left[at : at + 128]
+            far = root[some][:, None] != root[right][None, :]
+            if same:
+                far &= some[:, None] < right[None, :]
+            far &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= percent * np.maximum(n[some][:, None], n[right][None, :])
+            p, q = np.nonzero(far)
+            p, q = some[p], right[q]
+            for k in range(0, len(p), 100_000):
+                u, v = p[k : k + 100_000], q[k : k + 100_000]
+                differ = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+                good = differ <= most_different(n[u], n[v], percent)
+                u, v, differ = u[good], v[good], differ[good]
+                if len(u):
+                    a, b, x, y = root[u], root[v], node[u], node[v]
+                    found.append((np.minimum(a, b), np.maximum(a, b), differ, np.minimum(x, y), np.maximum(x, y), np.zeros(len(u), bool)))
+                    found = _best(found, most) if len(found) > 8 else found
+        return _best(found, most)[0] if found else None
+
+    def rows(batches):
+        for table in _groups(batches, 3):
+            found = pairs(table)
+            if found is not None:
+                yield _batch({"x": pa.array(found[3]), "y": pa.array(found[4]), "cut": pa.array(found[5])})
 
     return rows
 
@@ -377,60 +501,89 @@ def _coarse(batches):
         yield _batch({"node": batch.column(0), "n": batch.column(1), "coarse": pa.array(out, pa.binary())})
 
 
-def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+def _rows(docs: DataFrame, size: int, percent: int, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, text_key, n, node, component_id, and keeper, the component's first node of that id."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), text_key(F.col("text")).alias("text_key"))
     summary = materialise(_summary(docs, size, seed), "join-summary")
     nodes = summary.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"),
         F.expr("min(n) <> max(n) or min(check) <> max(check)").alias("clash"),
-    )
+    )
     nodes = materialise(nodes, "join-nodes")
     if nodes.where("clash").limit(1).count():
-        return link(docs, size, percent, seed + 1)
-    rows = _signature_rows(docs, size, percent, seed).repartition("key")
-    shared = materialise(rows.mapInArrow(tidied(_shared), "key bigint, node bigint, lookup int, n bigint"), "join-shared")
-    # the allocation: each lookup of a set keeps its rarest segments
-    rarest_last = Window.partitionBy("node", "lookup").orderBy(F.col("n").desc(), F.col("key"))
-    kept = shared.withColumn("place", F.row_number().over(rarest_last)).where("place > (lookup & 16777215)")
-    kept = kept.select("key", "node").distinct()
-    kept = materialise(kept, "join-kept")
+        return _rows(docs, size, percent, seed + 1)
+    rows = _signature_rows(docs, size, percent, seed)
+    # the rows of a frequent key are spread; which of them are shared is known without seeing them together
+    rows = rows.repartition("key", F.when(F.col("mark") >= HOT, F.pmod(F.xxhash64("node"), F.lit(256))).otherwise(-1))
+    rows = rows.sortWithinPartitions("key", "node", "mark")
+    shared = materialise(rows.mapInArrow(tidied(_shared), "key bigint, node bigint, mark int"), "join-shared")
+    counts = materialise(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-counts")
+    kept = materialise(_rarest(shared.join(counts, "key")), "join-kept")
     heads = kept.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = materialise(kept.join(heads, "key"), "join-buckets")
+    buckets = materialise(kept.join(materialise(heads, "join-heads"), "key"), "join-buckets")
     met = buckets.select("node").distinct()
     full = summary.where("bits is not null").select("node", "n", "bits")
     full = materialise(full.join(met, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "join-bits")
-    close = "x bigint, y bigint"
     stars = buckets.where("head <> node").select(F.col("head").alias("x"), F.col("node").alias("y")).distinct()
-    stars = materialise(_sides(stars, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), close), "join-stars")
+    stars = materialise(_sides(stars, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), "x bigint, y bigint"), "join-stars")
     links = _verify(stars, docs, nodes, size, percent, seed)
     roots = materialise(components(links), "join-roots")
-    # buckets of several components
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed.select("key", "node", "root", "members"), "join-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    open_ = placed.where("members > 2").join(mixed, "key", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-    coarse = full.mapInArrow(tidied(_coarse), "node bigint, n bigint, coarse binary")
-    open_ = open_.join(coarse, "node").select("key", "i", "j", "block", "node", "root", "n", "coarse")
-    across = open_.repartition("key", "i", "j").mapInArrow(tidied(_across(percent)), close).distinct()
-    across = materialise(across, "join-across")
-    across = materialise(_sides(across, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), close), "join-across-close")
-    more = _verify(across, docs, nodes, size, percent, seed)
-    if more.limit(1).count():
-        roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more))
+    roots = _link_components(buckets.where("members > 2"), roots, full, docs, nodes, size, percent, seed)
     members = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialise(members.join(firsts, "root").select("node", "component_id"), "join-named")
-    found = summary.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    firsts = members.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("first"))
+    named = members.join(firsts, "root").select("node", F.col("first.rep").alias("component_id"), F.col("first.node").alias("keeper"))
+    named = materialise(named, "join-named")
+    found = summary.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    return found.join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def _link_components(buckets, roots, full, docs, nodes, size: int, percent: int, seed: int) -> DataFrame:
+    """The roots after the links between components that meet in a bucket.
+
+    In each round a bucket sends, for each two components, their nearest pairs that the bitmaps let pass; those not
+    tested yet are verified, and links join their components. Rounds send 1, 16, 256, ... pairs, until
+    none was held back, so that a pair that was refuted makes way for the next and no link is lost.
+    """
+    pair, tested, most = "x bigint, y bigint, cut boolean", None, 1
+    coarse = materialise(full.mapInArrow(tidied(_coarse), "node bigint, n bigint, coarse binary"), "join-coarse")
+    while True:
+        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = materialise(placed.select("key", "node", "root", "members"), "join-placed")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        open_ = placed.join(materialise(mixed, "join-mixed"), "key", "left_semi")
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+        open_ = open_.join(coarse, "node").select("key", "i", "j", "block", "node", "root", "n", "coarse")
+        open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = open_.mapInArrow(tidied(_across(percent, most)), pair).groupBy("x", "y").agg(F.max("cut").alias("cut"))
+        found = materialise(found, "join-across")
+        fresh = found.select("x", "y")
+        if tested is not None:
+            fresh = materialise(fresh.join(tested, ["x", "y"], "left_anti"), "join-fresh")
+        close = _sides(fresh, full, ["n", "bits"]).mapInArrow(tidied(_close(percent)), "x bigint, y bigint")
+        more = _verify(materialise(close, "join-close"), docs, nodes, size, percent, seed)
+        if more.limit(1).count():
+            edges = roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more)
+            roots = materialise(components(edges), "join-roots")
+        if not found.where("cut").limit(1).count():
+            return roots
+        tested = fresh if tested is None else materialise(tested.union(fresh), "join-tested")
+        most *= 16
+
+
+def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _rows(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; all columns stay."""
-    found = materialise(link(docs, size, percent), "join-result")
-    dropped = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(bounded(dropped, dropped.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each component, that of the smallest doc_id; all columns stay.
+
+    Of texts that share this doc_id the one of the smaller node stays. Rows that repeat the document that stays
+    stay with it, as do rows without shingles or doc_id.
+    """
+    found = materialise(_rows(docs, size, percent), "join-result")
+    dropped = found.where("doc_id <> component_id or node <> keeper").select("doc_id", "text_key")
+    return without(docs, dropped, dropped.count())

@@ -150,15 +150,85 @@ def test_every_linked_pair_shares_a_kept_signature():
 
         def kept(s):
             out = set()
-            for keys, mark in jaccard_join.signatures(s):
-                order = sorted(keys.tolist())  # any fixed order will do
-                out |= set(order[mark & 0xFFFFFF :])
+            for keys, marks in jaccard_join.signatures(s):
+                short = marks[0] >> 24 < jaccard_join.SHORT_BANDS
+                paid, cost = {}, 0
+                for empty, k, mark in sorted(((bool(m & jaccard_join.EMPTY) and short, int(k), int(m)) for k, m in zip(keys, marks)), key=lambda r: (not r[0], r[1])):
+                    price = 1 if not short or not mark & jaccard_join.WHOLE else 2  # any fixed order of keys will do
+                    at = mark >> 8 & 255 if short else k
+                    cost += max(0, price - paid.get(at, 0))
+                    paid[at] = max(price, paid.get(at, 0))
+                    if cost > mark & (255 if short else 0xFFFFFF):
+                        out.add(k)
             return out
 
-        assert kept(x) & kept(y)
+        assert len(x) == len(y) == both or kept(x) & kept(y)
     assert seen > 300
 
 
+def test_jaccard_join_of_many_short_texts_stays_linear(spark, monkeypatch):
+    """Distinct texts of one shingle, and unrelated ones of six, meet in no large bucket; nor do near copies in all pairs."""
+    seen = {}
+    written = jaccard_join.materialise
+
+    def counted(df, name):
+        out = written(df, name)
+        if name in ("join-buckets", "join-stars", "join-across"):
+            seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    for n in (500, 2000):
+        seen.clear()
+        rows = [(i, f"only{i} word") for i in range(n)] + [(n + i, " ".join(f"q{i}x{k}" for k in range(10))) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = jaccard_join.link(df)
+        assert found.where("doc_id = component_id").count() == 2 * n
+        assert sum(seen.values()) <= n / 10
+    base = [f"b{k}" for k in range(120)]
+    made = {}
+    for n in (200, 400, 800):
+        seen.clear()
+        rng = random.Random(3)
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(120), 2):
+                words[at] = f"n{i}x{at}"
+            rows.append((i, " ".join(words)))
+        assert Counter(map(tuple, jaccard_join.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())) == linked(rows)
+        made[n] = seen["join-across"] + seen["join-stars"]
+    assert all(made[n] <= 5 * n for n in made)
+
+
+def test_near_dedup_and_odd_rows(spark, odd, empty):
+    """Rows that share an identifier stand or fall by their own text."""
+    x, y, z = "a b c d e f g h", "i j k l m n o p", " ".join(map(str, range(40)))
+    rows = [(3, x), (5, x), (5, y), (6, z), (6, z + " more"), (7, z), (None, x), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(r["text"] for r in jaccard_join.keep_one(df).collect() if r["doc_id"] == 6) in (Counter([z]), Counter([z + " more"]))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect() if r["doc_id"] != 6]
+    assert Counter(kept) == Counter([(3, x), (5, y), (None, x), (8, None), (9, "")])
+    found = stream_dedup.keep_one(df)
+    assert Counter(map(tuple, found.collect())) in ([Counter([(3, x), (5, y), (6, z), (6, z + " more"), (8, None)]), Counter([(3, x), (5, y), (6, z), (6, z + " more"), (9, "")])])
+    assert jaccard_join.keep_one(odd).columns == odd.columns and jaccard_join.keep_one(empty).count() == 0
+
+
+def test_words_of_long_texts_are_hashed_piece_by_piece(monkeypatch):
+    from shelfmark.llm import common
+
+    some = ["Ab c  d", "x" * 300, " y" * 90 + "z" * 50, "", "one two"]
+    want = [common.word_hashes(o, d, (2,)) for _, _, o, d in text_slices(pa.array(some), 1 << 20)][0]
+    low = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in some)
+    flat = [w for t in low for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    assert len(set(want[0].tolist())) == len(set(flat)) and len(want[0]) == len(flat)
+    monkeypatch.setattr(common, "PIECE", 64)
+    common._powers.cache_clear()
+    got = [common.word_hashes(o, d, (2,)) for _, _, o, d in text_slices(pa.array(some), 1 << 20)][0]
+    common._powers.cache_clear()
+    assert (got[0] == want[0]).all() and (got[1][0] == want[1][0]).all() and (got[2] == want[2]).all()
+
+
 # --- op5, op7, op8 ----------------------------------------------------------------------
 
 
