@@ -194,16 +194,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, dropped: DataFrame, rows: int) -> DataFrame:
-    """docs without the rows whose doc_id (null equals null) and text are in dropped (doc_id, text_key).
+def matching(docs: DataFrame, keys: DataFrame, rows: int, how: str) -> DataFrame:
+    """The rows of docs whose doc_id (null equals null) and text are in keys (left_semi) or are not (left_anti).
 
-    text_key is text_key() of the text: rows that share an identifier stand or fall by their own text.
+    keys has doc_id and text_key, the text_key() of a text, so that rows that share an identifier stand or fall by
+    their own text; `rows` is its counted size.
     """
-    key, name, other = (unused(docs, x) for x in ("_text_key", "_dropped_id", "_dropped_key"))
-    dropped = dropped.select(F.col("doc_id").cast("bigint").alias(name), F.col("text_key").alias(other)).distinct()
+    key, name, other = (unused(docs, x) for x in ("_text_key", "_key_id", "_other_key"))
+    keys = keys.select(F.col("doc_id").cast("bigint").alias(name), F.col("text_key").alias(other)).distinct()
     left = docs.withColumn(key, text_key(F.col("text")))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.col(key) == F.col(other))
-    return left.join(bounded(dropped, rows), same, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return left.join(bounded(keys, rows), same, how).drop(key)
 
 
 def text_key(text: Column) -> Column:

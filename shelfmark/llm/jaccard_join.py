@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded, materialise, mix, text_key, text_slices, tidied, without, word_hashes
+from shelfmark.llm.common import bounded, matching, materialise, mix, text_key, text_slices, tidied, word_hashes
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.5
@@ -586,4 +586,4 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     """
     found = materialise(_rows(docs, size, percent), "join-result")
     dropped = found.where("doc_id <> component_id or node <> keeper").select("doc_id", "text_key")
-    return without(docs, dropped, dropped.count())
+    return matching(docs, dropped, dropped.count(), "left_anti")

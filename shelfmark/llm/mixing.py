@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded, materialise
+from shelfmark.llm.common import bounded, materialise, unused
 
 LEVELS = ("domain", "lang", "source")
 
@@ -61,7 +61,10 @@ def share(children: DataFrame, parents: DataFrame, over: list[str], name: str) -
     whole is dealt to the last token. Products stay below 2^63 for weights up to 1,000 and
     10^15 tokens.
     """
-    rows = children.join(F.broadcast(parents), over) if over else children.crossJoin(F.broadcast(parents))
+    if over:
+        rows = children.join(bounded(parents, parents.count()), over)
+    else:  # the root is one row
+        rows = children.crossJoin(F.broadcast(parents))
     one = Window.partitionBy(*over) if over else Window.partitionBy(F.lit(0))
     order = one.orderBy((F.col("capacity") / F.col("weight")).asc(), F.col(name).asc())
     rows = rows.withColumn("before", F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -85,8 +88,8 @@ def budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
         over = list(LEVELS[:depth])
         children = leaves.groupBy(*over, level).agg(F.sum("capacity").cast("bigint").alias("capacity"))
         children = children.withColumn("weight", _weight(level, getattr(mix, level)))
-        parents = share(children, parents, over, level)
-    found = leaves.join(F.broadcast(parents), list(LEVELS))
+        parents = materialise(share(children, parents, over, level), "mix-shares")
+    found = leaves.join(bounded(parents, parents.count()), list(LEVELS))
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("bigint")
     return found.withColumn("whole", whole).withColumn("rest", F.expr("budget - whole * tokens")).drop("capacity")
 
@@ -141,10 +144,20 @@ def _ends(rows: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs with each row as often as select has copies of it; rows with null doc_id are not taken."""
-    chosen = materialise(select(docs, mix).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-chosen")
-    out = docs.join(bounded(chosen, chosen.count()), "doc_id").select(*docs.columns, "copies")
-    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    """docs with each row as often as select has copies of it; rows with null doc_id are not taken.
+
+    Rows that share an identifier get the copies of their own leaf.
+    """
+    leaf = {"lang": F.coalesce(F.col("lang"), F.lit("")), "source": F.coalesce(F.col("source"), F.lit(""))}
+    names = {c: unused(docs, f"_mix_{c}") for c in ("doc_id", *leaf, "copies")}
+    chosen = select(docs, mix).where("copies > 0 and doc_id is not null").groupBy("doc_id", *leaf).agg(F.max("copies").alias("copies"))
+    chosen = materialise(chosen.select([F.col(c).alias(n) for c, n in names.items()]), "mix-chosen")
+    same = F.col("doc_id") == F.col(names["doc_id"])
+    for c, value in leaf.items():
+        same &= value == F.col(names[c])
+    out = docs.join(bounded(chosen, chosen.count()), same)
+    repeat = F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int")))
+    return out.withColumn(names["copies"], repeat).drop(*names.values())
 
 
 def oracle_sql(mix: Mix = Mix()) -> str:

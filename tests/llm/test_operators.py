@@ -74,6 +74,23 @@ def test_dedup_keeps_one(odd, empty):
     assert stream_dedup.dedup(empty).count() == 0
 
 
+def test_dedup_state_meets_later_copies_and_lives_on(spark, docs, tmp_path):
+    """Several micro-batches, so that state is stored and restored, and a stream that goes on from its checkpoint."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    many = docs.repartition(5)
+    assert Counter(map(tuple, stream_dedup.dedup(many, files_per_trigger=1).collect())) == deduped(rows)
+    folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
+    for k, some in enumerate(([(1, "a b"), (2, "c")], [(0, "ab"), (3, "a  b")])):
+        spark.createDataFrame(some, "doc_id bigint, text string").select(
+            "doc_id", F.length("text").cast("bigint").alias("points"), stream_dedup.normalised(F.col("text")).alias("digest"),
+            stream_dedup.text_key(F.col("text")).alias("text_key"), F.lit(str(k)).alias("locator"),
+        ).coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        state = stream_dedup.run_state(spark, folder, schema, checkpoint=checkpoint, out=out)
+    found = {r["digest"]: (r["group_size"], ~r["best"]["not_id"], r["best"]["locator"]) for r in state.collect()}
+    assert found == {"ab": (3, 3, "1"), "c": (1, 2, "0")}
+
+
 # --- op2 -------------------------------------------------------------------------------
 
 
