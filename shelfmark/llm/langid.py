@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import text_slices, tidied, tidy
+from shelfmark.llm.common import materialise, text_slices, tidied, tidy
 
 DIM = 1 << 13
-#: Documents from which the weights are fitted and the temperature is calibrated, at most.
-SAMPLE = 6_000
+#: Documents from which the weights are fitted and the temperature is calibrated, at most, and bytes of their texts.
+SAMPLE, BYTES = 6_000, 48 << 20
 UNKNOWN = "und"
 
 
@@ -68,6 +68,17 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return counts, some
 
 
+#: Texts whose dense counts are held at a time.
+ROWS = 256
+
+
+def gram_runs(offsets: np.ndarray, data: np.ndarray):
+    """grams() of at most ROWS texts at a time."""
+    for a in range(0, len(offsets) - 1, ROWS):
+        some = offsets[a : a + ROWS + 1]
+        yield grams(some - some[0], data[some[0] : some[-1]])
+
+
 #: log(1 + count); larger counts are rare and computed.
 _LOG = np.log1p(np.arange(1 << 12)).astype(np.float32)
 
@@ -96,6 +107,16 @@ class Model:
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         return softmax(self.logits(counts) / self.temperature)
 
+    def judge(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text of a run the likeliest language, its probability (0 without a letter) and whether it has a letter."""
+        best, score, some = [], [], []
+        for counts, letters in gram_runs(offsets, data):
+            p = self.probabilities(counts)
+            best.append(p.argmax(axis=1))
+            score.append(np.where(letters, p.max(axis=1), 0.0).astype(np.float64))
+            some.append(letters)
+        return np.concatenate(best), np.concatenate(score), np.concatenate(some)
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -153,9 +174,10 @@ def texts_counts(texts: list) -> Sparse:
     """Features and counts of each text."""
     out = []
     for _, _, offsets, data in text_slices(pa.array(texts, pa.string()), 1 << 20):
-        for row in grams(offsets, data)[0]:
-            at = np.flatnonzero(row)
-            out.append((at.astype(np.int16), row[at]))
+        for counts, _ in gram_runs(offsets, data):
+            for row in counts:
+                at = np.flatnonzero(row)
+                out.append((at.astype(np.int16), row[at]))
     return out
 
 
@@ -191,8 +213,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def rows(batches):
         seen, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for _, _, offsets, data in text_slices(batch.column(0), 1 << 21):
-                seen += (grams(offsets, data)[0] > 0).sum(axis=0)
+            for _, _, offsets, data in text_slices(batch.column(0), 1 << 20):
+                for counts, _ in gram_runs(offsets, data):
+                    seen += (counts > 0).sum(axis=0)
                 n += len(offsets) - 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["feature", "n"])
@@ -207,18 +230,27 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return frequency, total
 
 
-def sample(docs: DataFrame, columns: list[str], most: int, seed: int = 41) -> list:
-    """`most` rows at most, the same ones for the same rows: those of the smallest seeded hashes.
+def sample(docs: DataFrame, columns: list[str], most: int, seed: int = 41, most_bytes: int = BYTES) -> list:
+    """`most` rows at most, of so many bytes of text at most, the same ones for the same rows: those of the smallest seeded hashes.
 
-    The hashes alone are ranked first, so that texts reach the driver only of the rows that are taken.
+    Hashes and lengths alone are ranked first, so that texts reach the driver only of the rows that are taken,
+    however many rows share an identifier or have none.
     """
     at = F.xxhash64(F.lit(seed), "doc_id")
-    least = docs.select(at.alias("at")).orderBy("at").limit(most)
-    bound = least.agg(F.max("at")).first()[0]
+    bound = docs.select(at.alias("at")).orderBy("at").limit(most).agg(F.max("at")).first()[0]
     if bound is None:
         return []
-    found = docs.where(at <= bound).select(*columns, at.alias("at"), F.xxhash64(*columns).alias("tie")).toLocalIterator()
-    return [tuple(r)[:-2] for r in sorted(found, key=lambda r: (r["at"], r["tie"]))[:most]]
+    near = docs.where(at <= bound).select(*columns, at.alias("at"), F.xxhash64(*columns).alias("tie"))
+    near = materialise(near, "sample")
+    ranked = near.select("at", "tie", F.octet_length(columns[0]).alias("bytes")).orderBy("at", "tie").limit(most).collect()
+    taken, total = 0, 0
+    while taken < len(ranked) and (not taken or total + ranked[taken]["bytes"] <= most_bytes):
+        total += ranked[taken]["bytes"]
+        taken += 1
+    last = (ranked[taken - 1]["at"], ranked[taken - 1]["tie"])
+    upto = (F.col("at") < last[0]) | ((F.col("at") == last[0]) & (F.col("tie") <= last[1]))
+    found = near.where(upto).orderBy("at", "tie").limit(taken).toLocalIterator()
+    return [tuple(r)[:-2] for r in found]
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Model | None:
@@ -240,16 +272,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def rows(batches):
         model = sent.value
         for batch in batches:
-            for lo, hi, offsets, data in text_slices(batch.column(2), 1 << 21):
+            for lo, hi, offsets, data in text_slices(batch.column(2), 1 << 20):
                 n = hi - lo
                 if model is None:
                     names, scores = [UNKNOWN] * n, np.zeros(n)
                 else:
-                    counts, some = grams(offsets, data)
-                    p = model.probabilities(counts)
-                    best = p.argmax(axis=1)
+                    best, scores, some = model.judge(offsets, data)
                     names = [model.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
-                    scores = np.where(some, p.max(axis=1), 0.0).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(names, pa.string()), pa.array(scores)],
                     ["doc_id", "held_out", "lang_pred", "score"],
@@ -273,10 +302,9 @@ def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     def sure(text: pa.Array) -> pa.Array:
         model, keep = sent.value, np.zeros(len(text), bool)
         if model is not None:
-            for lo, hi, offsets, data in text_slices(text, 1 << 21):
-                counts, some = grams(offsets, data)
-                keep[lo:hi] = some & (model.probabilities(counts).max(axis=1) >= least)
-            del counts
+            for lo, hi, offsets, data in text_slices(text, 1 << 20):
+                _, scores, some = model.judge(offsets, data)
+                keep[lo:hi] = some & (scores >= least)
         tidy()
         return pa.array(keep)
 
