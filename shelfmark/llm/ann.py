@@ -24,13 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise
+from shelfmark.llm.common import bounded, materialise
 
-#: Points of a shard, on average; queries of a block.
-SHARD, BLOCK = 16_384, 4_096
+#: Points of a shard, on average; queries that are searched together, and that one task takes through one shard.
+SHARD, BLOCK, GROUP = 16_384, 256, 262_144
 DEGREE, ROOM, BEAM, ALPHA, ENTRIES = 32, 48, 80, 1.2, 8
-#: Shards of no more distinct vectors are searched in full.
-SMALL = 512
 
 
 def _distances(x: np.ndarray, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -177,10 +175,8 @@ def index(vectors: np.ndarray, names: np.ndarray, k: int, largest: float) -> dic
     rank[by] = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
     some = rank <= k
     distinct = vectors[first]
-    found = {"vectors": distinct, "group": group[some], "names": names[some]}
-    if len(distinct) > SMALL:
-        found["graph"], found["entries"] = build(lift(distinct, largest))
-    return found
+    graph, entries = build(lift(distinct, largest))
+    return {"vectors": distinct, "group": group[some], "names": names[some], "graph": graph, "entries": entries}
 
 
 def search(found: dict, queries: np.ndarray, names: np.ndarray, k: int, largest: float, beam: int = BEAM):
@@ -190,16 +186,14 @@ def search(found: dict, queries: np.ndarray, names: np.ndarray, k: int, largest:
     begin = np.cumsum(count) - count
     by = np.lexsort((held, group))
     held = held[by]
-    x = lift(vectors, largest) if "graph" in found else None
-    out = []
-    for at in range(0, len(queries), 256):
-        q, own = queries[at : at + 256], names[at : at + 256]
-        if x is not None:
-            to = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
-            ids, _ = beam_search(x, found["graph"], found["entries"], to, beam)
-            lacking = np.where(ids >= 0, count[np.maximum(ids, 0)], 0).sum(axis=1) < min(k + 1, len(held))
-        else:
-            ids, lacking = np.zeros((len(q), 0), np.int64), np.ones(len(q), bool)
+    if "lifted" not in found:
+        found["lifted"] = lift(vectors, largest)
+    x, out = found["lifted"], []
+    for at in range(0, len(queries), BLOCK):
+        q, own = queries[at : at + BLOCK], names[at : at + BLOCK]
+        to = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+        ids, _ = beam_search(x, found["graph"], found["entries"], to, beam)
+        lacking = np.where(ids >= 0, count[np.maximum(ids, 0)], 0).sum(axis=1) < min(k + 1, len(held))
         for i in range(len(q)):
             mine = np.arange(len(vectors)) if lacking[i] else ids[i][ids[i] >= 0]
             score = np.einsum("kd,d->k", vectors[mine], q[i])
@@ -229,43 +223,55 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, name: str = "vec_id
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest"), F.count_if("asks").alias("asking"))
     sizes = sizes.select(
-        "dim", F.col("largest") * 1.000001 + 1e-30, F.ceil(F.col("n") / shard).cast("int"), F.ceil(F.col("asking") / BLOCK).cast("int")
-    ).toDF("dim", "largest", "shards", "blocks")
-    sizes = F.broadcast(materialise(sizes, "ann-sizes"))  # a row per vector length
-    placed = rows.join(sizes, "dim")
+        "dim", F.col("largest") * 1.000001 + 1e-30, F.ceil(F.col("n") / shard).cast("int"), F.ceil(F.col("asking") / GROUP).cast("int")
+    ).toDF("dim", "largest", "shards", "parts")
+    sizes = materialise(sizes, "ann-sizes")
+    placed = rows.join(bounded(sizes, sizes.count()), "dim")  # a row per vector length
 
     def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         found = index(np.array(pdf["v"].tolist(), np.float64), pdf["vec_id"].to_numpy(), k, first["largest"])
-        blank = np.zeros(0, np.int64)
-        graph, entries = found.get("graph", blank), found.get("entries", blank)
-        return pd.DataFrame([{
-            "dim": first["dim"], "shard": first["shard"], "blocks": first["blocks"], "vectors": found["vectors"].tobytes(),
-            "grp": found["group"].astype(np.int64).tobytes(), "names": found["names"].astype(np.int64).tobytes(),
-            "graph": graph.astype(np.int32).tobytes(), "entries": entries.astype(np.int64).tobytes(),
-        }])
+        kinds = {"vectors": np.float64, "group": np.int64, "names": np.int64, "graph": np.int32, "entries": np.int64}
+        row = {c: first[c] for c in ("dim", "shard", "parts", "largest")}
+        return pd.DataFrame([row | {c: found[c].astype(t).tobytes() for c, t in kinds.items()}])
 
     shards = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    graphs = shards.groupBy("dim", "shard").applyInPandas(
-        build_shard, "dim int, shard int, blocks int, vectors binary, grp binary, names binary, graph binary, entries binary"
-    )
-    graphs = materialise(graphs, "ann-graphs").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
-    asked = placed.where("asks").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int") + 1)
+    index_columns = "vectors binary, `group` binary, names binary, graph binary, entries binary"
+    graphs = shards.groupBy("dim", "shard").applyInPandas(build_shard, f"dim int, shard int, parts int, largest double, {index_columns}")
+    graphs = materialise(graphs, "ann-graphs").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = placed.where("asks").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-
-    def ask(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(graph) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        g, dim = graph.iloc[0], int(graph.iloc[0]["dim"])
-        found = {"vectors": np.frombuffer(g["vectors"], np.float64).reshape(-1, dim), "group": np.frombuffer(g["grp"], np.int64), "names": np.frombuffer(g["names"], np.int64)}
-        if g["entries"]:
-            found["graph"] = np.frombuffer(g["graph"], np.int32).reshape(-1, ROOM).astype(np.int64)
-            found["entries"] = np.frombuffer(g["entries"], np.int64)
-        a, b, s = search(found, np.array(queries["v"].tolist(), np.float64), queries["vec_id"].to_numpy(), k, queries.iloc[0]["largest"])
-        return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": s})
-
-    keys = ("dim", "shard", "block")
-    found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(ask, "query_id bigint, vec_id bigint, score double")
+    # each task gets a shard's index once, and then its queries
+    keys = ["dim", "shard", "part"]
+    both = graphs.select(*keys, F.lit(0).alias("kind"), "largest", "vectors", "group", "names", "graph", "entries").unionByName(
+        asked.select(*keys, F.lit(1).alias("kind"), "vec_id", "v"), allowMissingColumns=True
+    )
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+    def ask(batches):
+        found, key = None, None
+        for pdf in batches:
+            kind = pdf["kind"].to_numpy()
+            cuts = [0, *np.flatnonzero(kind == 0).tolist(), len(pdf)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                some = pdf.iloc[a:b]
+                if not len(some):
+                    continue
+                if some["kind"].iloc[0] == 0:
+                    g, some = some.iloc[0], some.iloc[1:]
+                    key, dim = (g["dim"], g["shard"], g["part"]), int(g["dim"])
+                    found = {
+                        "vectors": np.frombuffer(g["vectors"], np.float64).reshape(-1, dim), "group": np.frombuffer(g["group"], np.int64),
+                        "names": np.frombuffer(g["names"], np.int64), "entries": np.frombuffer(g["entries"], np.int64),
+                        "graph": np.frombuffer(g["graph"], np.int32).reshape(-1, ROOM).astype(np.int64), "largest": g["largest"],
+                    }
+                if not len(some):
+                    continue
+                assert key == tuple(some[c].iloc[0] for c in keys), "queries of a shard follow its index"
+                asked_by, near, score = search(found, np.array(some["v"].tolist(), np.float64), some["vec_id"].to_numpy(np.int64), k, found["largest"])
+                yield pd.DataFrame({"query_id": asked_by.astype(np.int64), "vec_id": near.astype(np.int64), "score": score})
+
+    found = both.mapInPandas(ask, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
