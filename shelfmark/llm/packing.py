@@ -5,8 +5,10 @@ the first may be shorter. The sum-of-squares rule puts a piece where the sum, ov
 gaps, of the squared number of open bins with that gap becomes smallest.
 
 The rule looks at lengths alone, so it runs on the histogram of all lengths, at most `capacity`
-numbers, and not on documents: pieces of one length are placed in steps of a fixed share of their
-count, one by one while there are few. Bins of one gap are held as ranges of bin numbers, so that the plan's
+numbers, and not on documents. Lengths take turns: each round places an equal share of the pieces of every
+length, so that long and short pieces meet in proportion; a share is one piece where there are
+few, and goes to its gap at once where there are many. Of plans in few and in many
+rounds the tightest is taken. Bins of one gap are held as ranges of bin numbers, so that the plan's
 size depends on the number of lengths and not on that of documents. Each piece then finds its place in the plan by
 its rank among the pieces of its length. Ranks are counted by written partition: a piece's
 rank within partition and length, plus the counts of the partitions before. No task ever holds the
@@ -30,10 +32,10 @@ from shelfmark.llm.common import bounded, materialise, text_slices, tidied, tidy
 from shelfmark.llm.tokenize import encoder, forget
 
 CAPACITY, END = 1024, 2
-#: Steps in which the pieces of one length are placed at most, about.
-STEPS = 64
-#: Bytes of text that a task looks at together.
-RUN = 6 << 20
+#: Rounds in which the pieces of one length are placed, and shares of lengths that a plan places at most.
+ROUNDS, STEPS = 64, 1 << 18
+#: Bytes of text that a task looks at together; those and the encoder's cache where workers must stay small.
+RUN, SMALL_RUN, SMALL_CACHE = 6 << 20, 1 << 20, 24 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
@@ -47,15 +49,16 @@ def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:
     """One row per piece, numbered within its partition and length.
 
-    lasting: the worker keeps the encoder's cache for its next task; without it, its memory is free for other stages.
+    lasting: the worker keeps the encoder's cache for its next task; without it the cache is small and goes with the
+    task, so that its memory is free for other stages.
     """
 
     def cut(batches):
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, 0 if lasting else SMALL_CACHE), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, offsets, data in text_slices(batch.column(1), RUN):
+            for lo, hi, offsets, data in text_slices(batch.column(1), RUN if lasting else SMALL_RUN):
                 ids, at = encode(offsets, data)
                 ids = ids.astype("<u4")
                 tail = np.array([end], "<u4").tobytes()
@@ -78,20 +81,21 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(tidied(cut), PIECES)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rising: bool = False):
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS):
     """Places for histogram[length] pieces of each length, and the number of bins.
 
+    Each round deals an equal share of every length, longest first. Of a share of several pieces those that the
+    sum-of-squares rule would put first are put at once: all of it, or as many as the best gap has bins.
     The plan's rows are (length, first rank, count, first bin, offset): the count pieces from that rank
     on go to as many bins from the first on, each at the offset.
     """
     open_bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # by gap: ranges [first bin, count]
     number = np.zeros(capacity + 1, np.int64)
     rows, bins = [], 0
-    for length in sorted(histogram, reverse=not rising):
-        todo, rank = histogram[length], 0
-        step = max(1, todo // steps)
+    for turn, length in ((t, n) for t in range(rounds) for n in sorted(histogram, reverse=True)):
+        rank = histogram[length] * turn // rounds
+        todo = histogram[length] * (turn + 1) // rounds - rank
         while todo:
-            take = min(todo, step)
             # what the sum of squares gains by one piece into each gap; a new bin's gap has no count itself
             gain = 2 * (np.append(0, number[1 : capacity + 1 - length]) - number[length:]) + 2
             gain[0] = 1 - 2 * number[length]  # a bin that becomes full leaves the sum
@@ -99,11 +103,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
             gap = length + int(np.argmin(gain))
             fresh = 2 * number[capacity - length] + 1 if length < capacity else 0
             if number[gap] == 0 or gain[gap - length] >= fresh:
-                gap, count = capacity, take
+                gap, count = capacity, todo
                 ranges = [[bins, count]]
                 bins += count
             else:
-                count = min(take, int(number[gap]))
+                count = min(todo, int(number[gap]))
                 number[gap] -= count
                 ranges, need = [], count
                 while need:
@@ -127,14 +131,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY):
-    """The plan with fewer bins of those by falling and by rising length, each in coarse and in fine steps."""
-    best = None
-    for steps in (STEPS, 4 * STEPS):
-        for rising in (False, True):
-            found = plan(histogram, capacity, steps, rising)
-            if best is None or found[1] < best[1]:
-                best = found
-    return best
+    """The plan with the fewest bins of those in few and in many rounds; the fewer lengths, the more rounds."""
+    most = STEPS // max(1, len(histogram))
+    return min((plan(histogram, capacity, max(1, rounds)) for rounds in (most // 32, most // 4, most)), key=lambda found: found[1])
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:

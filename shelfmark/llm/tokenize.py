@@ -14,8 +14,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces held; when full the cache starts anew.
-CACHE = 700_000
+#: Bytes that the distinct pieces held may take, about; when full the cache starts anew.
+CACHE, ENTRY = 150 << 20, 200
 
 #: Bytes of text that are looked at together; more of them share their distinct pieces.
 RUN = 12 << 20
@@ -57,7 +57,8 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts under one tokenizer file, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 0):
+        self.most = cache or CACHE
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,6 +79,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -153,10 +155,13 @@ class Encoder:
         distinct = pieces.dictionary.to_pylist()
         known = self.known
         new = [x for x in distinct if x not in known]
-        if len(known) + len(new) > CACHE:
+        more = sum(map(len, new)) + ENTRY * len(new)
+        if new and self.held + more > self.most:
             self._clear()
             known, new = self.known, distinct
+            more = sum(map(len, new)) + ENTRY * len(new)
         if new:
+            self.held += more
             self._learn(new)
         entry = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
         size = self.size[entry]
@@ -168,10 +173,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = 0) -> Encoder:
     """This process's encoder of a file; its cache lives on from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache)
     return _ENCODERS[path]
 
 
