@@ -266,7 +266,7 @@ def library(name):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name, monkeypatch):
-    monkeypatch.setattr(tokenize, "CACHE", 900)  # the cache starts anew several times
+    monkeypatch.setattr(tokenize, "CACHE", 900 * 210)  # the cache starts anew several times
     some = strange_texts()
     encode, want = tokenize.Encoder(tokenize.tokenizer_path(name)), library(name)
     for lo, hi, offsets, data in text_slices(pa.array(some, pa.string()), 4000):
@@ -358,11 +358,33 @@ def test_packing(odd, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_plan_with_thousands_of_pieces_a_length():
+    """Pieces placed many at a time: every piece has a place, no bin overflows, and hardly more bins than the sum needs."""
+    rng, capacity = random.Random(7), 64
+    histogram = {n: rng.randrange(1000, 9000) for n in range(1, capacity + 1)}
+    rows, bins = packing.best_plan(histogram, capacity)
+    assert {n: int(rows[rows[:, 0] == n, 2].sum()) for n in histogram} == histogram
+    filled = np.zeros(bins, np.int64)
+    for length, _, count, first, offset in rows.tolist():
+        assert (filled[first : first + count] == offset).all()
+        filled[first : first + count] += length
+    assert filled.max() <= capacity
+    # pieces longer than half a bin share none; small ones fill what those leave
+    least = 0
+    for k in range(capacity // 2 + 1):
+        big = sum(c for n, c in histogram.items() if n > capacity - k)
+        middle = {n: c for n, c in histogram.items() if capacity < 2 * n and n <= capacity - k}
+        room = sum((capacity - n) * c for n, c in middle.items())
+        small = sum(n * c for n, c in histogram.items() if k <= n and 2 * n <= capacity)
+        least = max(least, big + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
+    assert bins <= 1.03 * least
+
+
 def test_sum_of_squares_places_one_by_one_as_by_definition():
     """With few pieces the plan takes the place with the smallest sum of squares at each step."""
     rng, capacity = random.Random(2), 20
     histogram = Counter(rng.randint(1, capacity) for _ in range(60))
-    rows, bins = packing.plan(histogram, capacity, steps=64)
+    rows, bins = packing.plan(histogram, capacity, rounds=64)
     gaps: list[int] = []
     squares = lambda g: sum(v * v for k, v in Counter(g).items() if k)
     for length, _, count, first, offset in rows.tolist():
@@ -435,6 +457,19 @@ def test_neighbours_recall_and_scores(spark):
     assert all(len(v) == 10 for v in found.values())
 
 
+def test_neighbours_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    clean = {r["vec_id"]: np.array(r["embedding"], float) for r in table.where(ann.valid("embedding")).collect()}
+    found = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=20, shard=700).collect():
+        assert abs(r["score"] - float(np.dot(clean[r["query_id"]], clean[r["vec_id"]]))) < 1e-9
+        found[r["query_id"]].append(r["vec_id"])
+    want = exact(clean, 20, 20)
+    assert {k: len(v) for k, v in found.items()} == {k: 20 for k in want}
+    recall = sum(len(set(found[i]) & set(w)) for i, w in want.items()) / sum(map(len, want.values()))
+    assert recall >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [2.0, 0.0]), (8, [2.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (9, [1.0, 2.0, 3.0]), (40, [1.0, 1.0, 1.0])]
@@ -490,6 +525,73 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.classify(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def plain_logit(p, words):
+    """The convolution of one text in plain loops: words are rows of three table places; two blank words follow them."""
+    vectors = [sum(p["embed"][k].astype(float) for k in w) for w in words] + [np.zeros(toxicity.WIDTH)] * 2
+    pooled = []
+    for w in toxicity.SPANS:
+        for f in range(toxicity.FILTERS):
+            best = max(
+                [-np.inf] + [sum(float(vectors[a + j][d]) * float(p[f"filter{w}"][j][d][f]) for j in range(w) for d in range(toxicity.WIDTH))
+                for a in range(len(vectors) - w + 1)]
+            )
+            pooled.append(max(0.0, best + float(p[f"bias{w}"][f])))
+    return sum(h * float(o) for h, o in zip(pooled, p["out"])) + float(p["last"][0])
+
+
+def test_toxicity_is_that_of_plain_loops_and_of_the_text_alone():
+    rng = np.random.default_rng(8)
+    p = toxicity._starting(2)
+    p["embed"] += rng.standard_normal(p["embed"].shape).astype(np.float32)
+    p["embed"][toxicity.PAD] = 0
+    some = ["kind words", "", "a", "some thing else that is longer than the others", None, "kind words", " x  y "]
+    run = lambda texts: next(text_slices(pa.array(texts, pa.string())))[2:]
+    rows, begin = toxicity.tokens(*run(some))
+    got = toxicity.forward(p, rows, begin)
+    assert got[0] == got[5] and got[1] == got[4]
+    for t, z, a, b in zip(some, got, begin[:-1], begin[1:]):
+        assert abs(plain_logit(p, rows[a : b - 2].tolist()) - z) < 1e-3
+        assert abs(float(toxicity.forward(p, *toxicity.tokens(*run([t])))[0]) - z) < 1e-4
+    back = toxicity.forward(p, *toxicity.tokens(*run(some[::-1])))
+    assert np.abs(back[::-1] - got).max() < 1e-4
+
+
+def test_language_by_plain_loops():
+    """Features, weights and softmax written out for single texts."""
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b", "c"], rng.random(langid.DIM).astype(np.float32) + 1, rng.standard_normal((langid.DIM, 3)).astype(np.float32), np.zeros(3, np.float32), 0.7)
+    low = 0xFFFFFFFF
+    scramble = lambda x: (((x ^ (x >> 15)) * 0x2C1B3C6D) & low) >> 19
+
+    def plain(text):
+        points = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text]
+        one = [(x * 0x9E3779B1) & low for x in points]
+        two = [((points[i] * 0x85EBCA6B) & low) ^ (one[i + 1] >> 3) for i in range(len(points) - 1)]
+        three = [((two[i] * 0xC2B2AE35) & low) ^ (one[i + 2] >> 5) for i in range(len(points) - 2)]
+        count = Counter(map(scramble, [*one, *((x * 0x27D4EB2F) & low for x in two), *three]))
+        x = {k: np.log1p(n) * float(model.idf[k]) for k, n in count.items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        z = [sum(v / size * float(model.weights[k][c]) for k, v in x.items()) / model.temperature for c in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        return max(range(3), key=z.__getitem__), max(e) / sum(e)
+
+    some = ["Hello, World", "é", "日本語 text", "a1b2", "The  quick BROWN fox " * 40]
+    _, _, offsets, data = next(text_slices(pa.array(some)))
+    best, score, letters = model.judge(offsets, data)
+    assert letters.all()
+    for t, b, s in zip(some, best, score):
+        k, v = plain(t)
+        assert k == b and abs(v - s) < 1e-4
+
+
+def test_samples_are_bounded_with_repeated_and_null_identifiers(spark):
+    rows = [(None if i % 2 else 7, f"text number {i} of many", "en") for i in range(3000)] + [(i, f"other {i}", "de") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.sample(df, ["text", "lang"], 50)
+    assert len(found) == 50 and found == langid.sample(df.repartition(7), ["text", "lang"], 50)
+    assert sum(len(r[0]) for r in langid.sample(df, ["text", "lang"], 50, most_bytes=200)) <= 200
+
+
 def test_toxicity_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(3)
     p = {k: v.astype(np.float64) for k, v in toxicity._starting(1).items()}
@@ -556,6 +658,19 @@ def test_field_on_unseen_sentences_and_viterbi_by_enumeration():
         assert abs(score(best) - score(tuple(field.viterbi([run])[0].tolist()))) < 1e-9
 
 
+def test_windows_decode_as_the_whole_text(docs):
+    """Cutting a text to the words near evidence gives the spans of decoding all its words."""
+    field, some = pii.trained(), [t for t in texts(docs).values() if t][:120]
+    base = [pii.base_spans(t) for t in some]
+    near = pii.added_spans(some, base, field)
+    whole = pii.windows
+    try:
+        pii.windows = lambda t: [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]] if t.strip() else []
+        assert pii.added_spans(some, base, field) == near
+    finally:
+        pii.windows = whole
+
+
 def test_personal_data_rows(spark, odd, empty):
     t = "Please contact Anna Miller or call +1 (555) 010-9999, é a.b@c.example.com 10.0.0.1 and 4111 1111 1111 1111"
     r = pii.find(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).first()
