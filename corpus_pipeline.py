@@ -10,6 +10,11 @@ last return the columns of documents:
 5. packing: sequences of at most 1,024 tokens, one row per piece.
 
 run() applies them with Parquet between stages, in the folder of spark.checkpoint.dir.
+
+Defined results: documents of null or empty text, or without a letter, go in the first stage; null lang and source
+count as the children named ''; rows with null doc_id go in mixing at the latest; of rows that repeat doc_id and text
+one stays, and rows that share a doc_id alone stand or fall by their own text; an empty table gives no rows; other
+columns, whatever their names, are carried up to packing.
 """
 
 from __future__ import annotations
@@ -24,13 +29,7 @@ from shelfmark.llm.tokenize import tokenizer_path
 MIX = mixing.Mix(percent=80, max_epochs=1)
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Fewer whole texts at a time between the JVM and Python: stages share executors, and their workers live on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return langid.accepted(docs)
 
 
@@ -39,7 +38,6 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
@@ -48,7 +46,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2, lasting=False)
 
 
