@@ -148,16 +148,12 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows that share an identifier get the copies of their own leaf.
     """
-    leaf = {"lang": F.coalesce(F.col("lang"), F.lit("")), "source": F.coalesce(F.col("source"), F.lit(""))}
-    names = {c: unused(docs, f"_mix_{c}") for c in ("doc_id", *leaf, "copies")}
-    chosen = select(docs, mix).where("copies > 0 and doc_id is not null").groupBy("doc_id", *leaf).agg(F.max("copies").alias("copies"))
-    chosen = materialise(chosen.select([F.col(c).alias(n) for c, n in names.items()]), "mix-chosen")
-    same = F.col("doc_id") == F.col(names["doc_id"])
-    for c, value in leaf.items():
-        same &= value == F.col(names[c])
-    out = docs.join(bounded(chosen, chosen.count()), same)
-    repeat = F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int")))
-    return out.withColumn(names["copies"], repeat).drop(*names.values())
+    leaf = F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    doc_id, key, copies = (unused(docs, f"_mix_{c}") for c in ("doc_id", "leaf", "copies"))
+    chosen = select(docs, mix).where("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(doc_id), leaf.alias(key))
+    chosen = materialise(chosen.agg(F.max("copies").alias(copies)), "mix-chosen")
+    out = docs.join(bounded(chosen, chosen.count()), (F.col("doc_id") == F.col(doc_id)) & (leaf == F.col(key)))
+    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(doc_id, key, copies)
 
 
 def oracle_sql(mix: Mix = Mix()) -> str:

@@ -431,6 +431,19 @@ def test_mixed_repeats_rows(docs):
     assert out.columns == docs.columns
 
 
+def test_mixed_takes_rows_of_one_identifier_by_their_own_leaf(spark, odd, empty):
+    rows = [(1, "a b c", "en", "s0"), (1, "a b c", "xx", "s9"), (2, "d " * 50, "en", "s0"), (None, "z", "en", "s0"), (3, "e", None, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, lang string, source string, copies int, leaf int")
+    mix = mixing.Mix(percent=100, max_epochs=2)
+    want = Counter()
+    for r in mixing.select(df, mix).where("doc_id is not null").collect():
+        want[r["doc_id"], r["lang"], r["source"]] += r["copies"]
+    out = mixing.mixed(df, mix)
+    found = Counter((r["doc_id"], r["lang"] or "", r["source"] or "") for r in out.collect())
+    assert found == Counter({k: v for k, v in want.items() if v}) and out.columns == df.columns
+    assert mixing.mixed(odd, mix).columns == odd.columns and mixing.mixed(empty, mix).count() == 0
+
+
 # --- op3 -------------------------------------------------------------------------------
 
 
