@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import written
+
 #: The largest page of the scanner, of adapters, and of a projection.
 SCANNER_PAGE, ADAPTER_PAGE, PROJECTION_PAGE = 256, 128, 128
 
@@ -59,19 +61,19 @@ def numbered(rows: DataFrame, partition: list[str], keys: list[str], limit: int)
 def ranged(rows: DataFrame, key: str, limit: int, spread: int = 64) -> DataFrame:
     """numbered() for one long list, without gathering it in one task.
 
-    The rows are range-partitioned by key and numbered within ranges; the counts of the ranges, one row
-    each, are summed and added.
+    The rows are range-partitioned by key and written with their range, so that numbers and counts see
+    the same ranges; rows are numbered within ranges, and the counts of the ranges, one row each, are summed and added.
     """
     parts = rows.repartitionByRange(spread, key).withColumn("range", F.spark_partition_id())
-    inside = Window.partitionBy("range").orderBy(key)
-    parts = parts.withColumn("inside", F.row_number().over(inside) - 1)
+    parts = written(parts, "ranges")
     counts = parts.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("range", "before")
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    found = parts.join(F.broadcast(counts), "range").crossJoin(F.broadcast(total))  # spread rows, and one
-    found = found.withColumn("place", (F.col("before") + F.col("inside")).cast("bigint")).withColumn("page", F.expr(f"place div {limit}"))
-    return found.withColumn("terminal", F.expr(f"(page + 1) * {limit} >= total")).drop("range", "inside", "before", "total")
+    ranges = Window.orderBy("range")  # spread rows
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn("total", F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    found = parts.join(F.broadcast(counts.drop("n")), "range")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    found = found.withColumn("place", (F.col("before") + inside).cast("bigint")).withColumn("page", F.expr(f"place div {limit}"))
+    return found.withColumn("terminal", F.expr(f"(page + 1) * {limit} >= total")).drop("range", "before", "total")
 
 
 def cursors(pages: DataFrame, partition: list[str], key: str) -> DataFrame:

@@ -22,16 +22,36 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-DEFAULT_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Where a session on this machine alone keeps its scratch data if no folder is set.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share.
+
+    A folder that was set by setCheckpointDir serves as well. On a cluster one of them must be set; a session
+    on this machine alone falls back to a folder of its own.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(DEFAULT_CHECKPOINTS)
-        base = DEFAULT_CHECKPOINTS
-    return f"{base.rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(LOCAL_CHECKPOINTS)
+        base = LOCAL_CHECKPOINTS
+    return f"{base.rstrip('/')}/shelfmark/{context.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has written there; results that still read it are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
