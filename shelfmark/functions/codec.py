@@ -16,6 +16,7 @@ MANIFEST_PREFIX = "shelfmark.source-manifest.1"
 PUBLICATION_PREFIX = "shelfmark.publication.1"
 METADATA_PREFIX = "shelfmark.metadata-audit.1"
 ENTRY_PREFIX = "shelfmark.entry-audit.1"
+PRODUCER_PREFIX = "shelfmark.producer.1"
 
 
 def hex_text(text: Column) -> Column:
@@ -36,6 +37,24 @@ def hex_i128(n: Column) -> Column:
     return F.concat(F.when(n < 0, F.lit("F" * 16)).otherwise(F.lit("0" * 16)), hex_u64(n))
 
 
+def encode_u64(n: Column) -> Column:
+    """Eight bytes, big endian, of a number from 0 to 2^64 - 1 (decimal(20,0)); null outside."""
+    n = n.cast("decimal(20,0)")
+    digits = F.conv(n.cast("string"), 10, 16)
+    fits = n.between(F.lit("0").cast("decimal(20,0)"), F.lit("18446744073709551615").cast("decimal(20,0)"))
+    return F.when(fits, F.unhex(F.lpad(digits, 16, "0")))
+
+
+def decode_u64(raw: Column) -> Column:
+    """The number (decimal(20,0)) of eight bytes, big endian; null for any other length."""
+    return F.when(F.length(raw) == 8, F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)"))
+
+
+def producer_fingerprint(*parts: Column) -> Column:
+    """The digest of what made an artifact: writer, Python, image library, JPEG and zlib builds, each framed."""
+    return digest_hex(F.concat(F.lit(prefix_hex(PRODUCER_PREFIX)), *[frame32(p) for p in parts]))
+
+
 def frame32(text: Column) -> Column:
     return F.concat(hex_u32(F.octet_length(text)), hex_text(text))
 

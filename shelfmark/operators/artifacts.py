@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+import zlib
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import codec
@@ -96,3 +100,27 @@ def selected(inputs: DataFrame) -> DataFrame:
 def publications(inputs: DataFrame) -> DataFrame:
     """Selected galleries that have effective content."""
     return inputs.where("selected and effective_content_sha256 is not null")
+
+
+@dataclass(frozen=True)
+class Producer:
+    """What makes artifacts; its fingerprint changes whenever a part of it does."""
+
+    writer: str
+    python: str
+    images: str
+    jpeg: str
+    zlib: str
+
+    @classmethod
+    def current(cls, writer: str = "shelfmark-artifact-1") -> Producer:
+        """This process. Images are not re-encoded here, so their library and JPEG build are unknown."""
+        return cls(writer, sys.implementation.cache_tag or f"cpython-{sys.version_info.major}.{sys.version_info.minor}", "unknown", "unknown", zlib.ZLIB_RUNTIME_VERSION)
+
+    def fingerprint(self) -> Column:
+        return codec.producer_fingerprint(*[F.lit(getattr(self, f.name)) for f in fields(self)])
+
+
+def with_fingerprint(producers: DataFrame) -> DataFrame:
+    """producers (writer, python, images, jpeg, zlib) with their fingerprint."""
+    return producers.withColumn("fingerprint_sha256", codec.producer_fingerprint(*[F.col(f.name) for f in fields(Producer)]))

@@ -49,3 +49,21 @@ def audit_lookup(locators: DataFrame, audits: DataFrame) -> DataFrame:
     """locators with their recorded audit; those without one are to be observed."""
     found = locators.join(audits.select("gallery_key", "entry_audit"), "gallery_key", "left")
     return found.withColumn("observe", F.col("entry_audit").isNull())
+
+
+#: Fixed value: what a file is recognised by.
+STAT = ("device", "inode", "size_bytes", "modified_ns", "changed_ns")
+
+
+def encode_stat(rows: DataFrame) -> DataFrame:
+    """rows with device and inode as eight bytes each, as they are stored."""
+    return rows.withColumns({c: codec.encode_u64(F.col(c)) for c in STAT[:2]})
+
+
+def decode_stat(rows: DataFrame) -> DataFrame:
+    """rows with device and inode as numbers again; a malformed row is an error when it is read."""
+    bad = F.raise_error(F.lit("a stored stat has two blobs of eight bytes and three numbers"))
+    good = F.lit(True)
+    for c in STAT:
+        good = good & (F.length(c) == 8 if c in STAT[:2] else F.col(c).isNotNull())
+    return rows.withColumns({c: F.when(F.coalesce(good, F.lit(False)), codec.decode_u64(F.col(c))).otherwise(bad) for c in STAT[:2]})

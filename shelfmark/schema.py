@@ -48,6 +48,32 @@ class Snapshot:
     tags: DataFrame
 
 
+#: Bytes of a receipt and of a protection token.
+RECEIPT_BYTES, TOKEN_BYTES = 16, 184
+
+
+def revision(value: int) -> int:
+    """A catalogue revision: a whole number from 1, below 2^63."""
+    if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value < 1 << 63:
+        raise ValueError("a revision is a whole number from 1, below 2^63")
+    return value
+
+
+def exact_bytes(value: bytes, size: int, what: str) -> bytes:
+    """Bytes of exactly this length."""
+    if type(value) is not bytes or len(value) != size:
+        raise ValueError(f"{what} has exactly {size} bytes")
+    return value
+
+
+def receipt(value: bytes) -> bytes:
+    return exact_bytes(value, RECEIPT_BYTES, "a receipt")
+
+
+def token(value: bytes) -> bytes:
+    return exact_bytes(value, TOKEN_BYTES, "a protection token")
+
+
 def is_sha256(column):
     """64 lower-case hexadecimal digits."""
     return F.coalesce(column.rlike("^[0-9a-f]{64}$"), F.lit(False))

@@ -1,9 +1,13 @@
 """A Spark data source of gallery trees: galleries, files, entries and tags of a directory.
 
 A directory is a gallery if it directly holds a regular metadata file. Directories are walked depth first without
-following links; each child of the root is one partition. Every directory is looked at before and
+following links. The upper levels are walked on the driver until there are enough directories to share out,
+which are dealt to a bounded number of partitions. Every directory is looked at before and
 after its walk, and every file before and after its hash; what changed meanwhile is an error. The tree must
 lie at the same path for all executors.
+
+`freeze` walks a tree once and writes what it found; everything else is read off that table, so that later pages
+and relations see one tree and scan no directory again.
 """
 
 from __future__ import annotations
@@ -12,14 +16,22 @@ import hashlib
 import os
 import re
 import stat
-import tempfile
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from decimal import Decimal
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
 
+from shelfmark.functions.codec import gallery_key
+from shelfmark.operators.audit import STAT
 from shelfmark.schema import METADATA_FILE, Snapshot
+from shelfmark.session import scratch, written
 
 #: Fixed value: bytes read at a time.
 BLOCK = 4 << 20
@@ -30,7 +42,10 @@ SCHEMAS = {
     "files": f"locator array<string>, name_bytes binary, sha256 string, {_STAT}",
     "entries": f"locator array<string>, name_bytes binary, file_type int, {_STAT}",
     "tags": "locator array<string>, ordinal int, namespace string, value string",
+    "discovery": f"locator array<string>, {_STAT}",
 }
+#: Partitions of a tree's walk at most, and directories that the driver walks before it shares out the rest.
+PARTITIONS, FRONTIER = 256, 1_024
 
 
 class TreeChanged(RuntimeError):
@@ -88,17 +103,22 @@ def walk(directory: str, locator: tuple[str, ...], deep: bool = True):
         raise TreeChanged(f"changed while it was walked: {directory}")
 
 
-def content_parts(path: str):
-    """The bytes of a regular file, in blocks, if it stays what it is."""
+def content_parts(path: str, sha256: str | None = None):
+    """The bytes of a regular file, in blocks, if it stays what it is and, where a digest is given, has that digest."""
     fd = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
+    digest = hashlib.sha256()
     try:
         before = facts(os.fstat(fd))
         if before != facts(look(path, 0)):
             raise TreeChanged(f"changed before it was read: {path}")
         while part := os.read(fd, BLOCK):
+            if sha256 is not None:
+                digest.update(part)
             yield part
         if facts(os.fstat(fd)) != before:
             raise TreeChanged(f"changed while it was read: {path}")
+        if sha256 is not None and digest.hexdigest() != sha256:
+            raise TreeChanged(f"not the bytes that were observed: {path}")
     finally:
         os.close(fd)
 
@@ -161,9 +181,34 @@ def gid_of(locator: tuple[str, ...]) -> int:
     return int(digits[1])
 
 
-class Child(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+def observe(locator: tuple[str, ...], path: str, before: tuple) -> dict:
+    """One gallery as it is: rows of each relation, its metadata read and hashed once more after all files."""
+    entries = listing(path, before)
+    info = os.path.join(path, METADATA_FILE)
+    raw = b"".join(content_parts(info))
+    found = parse_metadata(raw.decode("utf-8"))
+    regular = [(name, value) for name, value in entries if entry_type(value.st_mode) == 0]
+    files = [(name, file_sha256(os.path.join(path, os.fsdecode(name))), *facts(value)) for name, value in regular]
+    changed = os.lstat(info).st_mtime_ns // 1000
+    if file_sha256(info) != hashlib.sha256(raw).hexdigest():
+        raise TreeChanged(f"the metadata changed while its gallery was read: {path}")
+    if facts(look(path, 1)) != before:
+        raise TreeChanged(f"changed while it was read: {path}")
+    metadata = (gid_of(locator), found["title"], found["comment"], found["account"], found["upload"], found["download"], changed, 1, len(regular), len(regular) - 1)
+    return {
+        "galleries": [(*metadata, *before)],
+        "files": files,
+        "entries": [(name, entry_type(value.st_mode), *facts(value)) for name, value in entries],
+        "tags": [(i, namespace, value) for i, (namespace, value) in enumerate(found["tags"])],
+        "discovery": [before],
+    }
+
+
+class Part(InputPartition):
+    """Directories to walk: (names below the root, whether to walk below them too)."""
+
+    def __init__(self, directories: list[tuple[tuple[str, ...], bool]]):
+        self.directories = directories
 
 
 class TreeReader(DataSourceReader):
@@ -171,34 +216,25 @@ class TreeReader(DataSourceReader):
         self.root, self.what = root, what
 
     def partitions(self):
-        list(walk(self.root, (), deep=False))  # the root must not be a gallery
-        return [Child(e.name) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)] or [Child("")]
+        done, todo = [], [((), True)]
+        while todo and len(todo) < PARTITIONS and len(done) < FRONTIER:
+            names, _ = todo.pop(0)
+            path = os.path.join(self.root, *names)
+            list(walk(path, names, deep=False))  # the root must not be a gallery
+            with os.scandir(path) as entries:
+                below = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+            if names:
+                done.append((names, False))
+            todo += [((*names, component(n)), True) for n in below]
+        every = done + todo
+        return [Part(every[i::PARTITIONS]) for i in range(min(PARTITIONS, len(every)))] or [Part([])]
 
     def read(self, partition):
-        if not partition.name:
-            return
-        for locator, path, before in walk(os.path.join(self.root, partition.name), (component(partition.name),)):
-            entries = listing(path, before)
-            if self.what == "entries":
-                for name, value in entries:
-                    yield (list(locator), name, entry_type(value.st_mode), *facts(value))
-            elif self.what == "files":
-                for name, value in entries:
-                    if entry_type(value.st_mode) == 0:
-                        yield (list(locator), name, file_sha256(os.path.join(path, os.fsdecode(name))), *facts(value))
-            else:
-                info = os.path.join(path, METADATA_FILE)
-                text = b"".join(content_parts(info)).decode("utf-8")
-                found = parse_metadata(text)
-                if self.what == "tags":
-                    for i, (namespace, value) in enumerate(found["tags"]):
-                        yield (list(locator), i, namespace, value)
-                else:
-                    regular = sum(entry_type(v.st_mode) == 0 for _, v in entries)
-                    changed = os.lstat(info).st_mtime_ns // 1000
-                    yield (list(locator), gid_of(locator), found["title"], found["comment"], found["account"], found["upload"], found["download"], changed, 1, regular, regular - 1, *before)
-            if facts(look(path, 1)) != before:
-                raise TreeChanged(f"changed while it was read: {path}")
+        for names, deep in partition.directories:
+            for locator, path, before in walk(os.path.join(self.root, *names), names, deep):
+                rows = [before] if self.what == "discovery" else observe(locator, path, before)[self.what]
+                for row in rows:
+                    yield (list(locator), *row)
 
 
 class TreeSource(DataSource):
@@ -216,9 +252,11 @@ class TreeSource(DataSource):
         return _typed(rows, schema)
 
 
-def _typed(reader: TreeReader, schema) -> TreeReader:
-    from decimal import Decimal
+def _schema(what: str) -> T.StructType:
+    return T._parse_datatype_string(SCHEMAS[what])
+
 
+def _typed(reader: TreeReader, schema) -> TreeReader:
     places = [i for i, f in enumerate(schema.fields) if f.name in ("device", "inode")]
     plain = reader.read
 
@@ -238,17 +276,88 @@ def load(spark: SparkSession, root: str, what: str) -> DataFrame:
     return spark.read.format("gallery_tree").option("what", what).load(root)
 
 
-def snapshot(spark: SparkSession, root: str, scope: str) -> Snapshot:
-    """The policy's relations of a tree, with stable gallery keys."""
-    from shelfmark.functions.codec import gallery_key
+@dataclass(frozen=True)
+class FrozenTree:
+    """A tree as one walk found it. observed: a row per gallery with its relations as arrays, written once."""
+
+    root: str
+    observed: DataFrame
+
+    def relation(self, what: str) -> DataFrame:
+        """The rows of a relation, as `load` has them; no directory is looked at."""
+        rows = self.observed.select("locator", F.explode(what).alias("row"))
+        return rows.select("locator", "row.*")
+
+    def verify(self) -> None:
+        """Look at every gallery again; anything that is not as it was is an error."""
+        again = _observed(self.observed.sparkSession, self.root, self.observed.select("locator", F.col("galleries")[0].alias("g")).select("locator", "g.*"))
+        digest = [F.xxhash64(F.to_json(F.struct(c))).alias(c) for c in RELATIONS]
+        old, new = (df.select(F.array_join("locator", "/").alias("locator"), *digest) for df in (self.observed, again))
+        found = old.join(new.toDF("locator", *[f"{c}_again" for c in RELATIONS]), "locator", "full_outer")
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_again")) for c in RELATIONS]
+        bad = found.where(~reduce(lambda a, b: a & b, same)).select("locator").limit(5).collect()
+        if bad:
+            raise TreeChanged(f"not as it was: {[r[0] for r in bad]}")
+        seen = load(self.observed.sparkSession, self.root, "discovery").select(F.array_join("locator", "/").alias("locator"))
+        added = seen.join(old, "locator", "left_anti").limit(5).collect()
+        if added:
+            raise TreeChanged(f"appeared since: {[r[0] for r in added]}")
+
+    def snapshot(self, scope: str) -> Snapshot:
+        """The policy's relations, with stable gallery keys."""
+        key = gallery_key(F.lit(scope), F.col("locator")).alias("gallery_key")
+        download = F.timestamp_micros("download_time").cast("timestamp_ntz").alias("download_time")
+        galleries = self.relation("galleries").select(key, F.element_at("locator", -1).alias("gallery_name"), "gid", "title", download)
+        files = self.relation("files").select(key, F.col("name_bytes").cast("string").alias("name"), "sha256", "size_bytes")
+        tags = self.relation("tags").select(key, "ordinal", "namespace", "value")
+        return Snapshot(galleries, files, tags)
+
+
+#: The relations that one observation of a gallery yields.
+RELATIONS = ("galleries", "files", "entries", "tags")
+
+
+def _observed(spark: SparkSession, root: str, discovery: DataFrame) -> DataFrame:
+    """Each gallery of a discovery with its relations as arrays, if its directory is still the one discovered."""
+    shapes = {c: T.StructType(_schema(c).fields[1:]) for c in RELATIONS}
+    out = T.StructType([T.StructField("locator", T.ArrayType(T.StringType())), *[T.StructField(c, T.ArrayType(shapes[c])) for c in RELATIONS]])
+
+    def rows(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                locator, before = tuple(r["locator"]), tuple(int(r[c]) for c in STAT)
+                path = os.path.join(root, *locator)
+                if facts(look(path, 1)) != before:
+                    raise TreeChanged(f"changed since it was discovered: {path}")
+                found = observe(locator, path, before)
+                arrays = [pa.array([list(locator)], pa.list_(pa.string()))]
+                for c in RELATIONS:
+                    names = shapes[c].fieldNames()
+                    cells = [{n: Decimal(v) if n in ("device", "inode") else v for n, v in zip(names, row)} for row in found[c]]
+                    arrays.append(pa.array([cells], pa.list_(to_arrow_type(shapes[c]))))
+                yield pa.RecordBatch.from_arrays(arrays, ["locator", *RELATIONS])
+
+    spread = discovery.select("locator", *STAT).repartition(max(1, spark.sparkContext.defaultParallelism * 4), "locator")
+    return spread.mapInArrow(rows, out)
+
+
+def freeze(spark: SparkSession, root: str) -> FrozenTree:
+    """Walk a tree once and write it. Locators found twice, and a root that changed meanwhile, are errors."""
+    root = os.path.realpath(root)
+    before = facts(look(root, 1))
+    discovery = written(load(spark, root, "discovery"), "tree-discovery")
+    twice = discovery.groupBy("locator").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise TreeChanged(f"found twice: {twice[0]['locator']}")
+    observed = written(_observed(spark, root, discovery), "tree-observed")
+    if facts(look(root, 1)) != before:
+        raise TreeChanged(f"the root changed while it was walked: {root}")
+    return FrozenTree(root, observed)
 
-    key = gallery_key(F.lit(scope), F.col("locator")).alias("gallery_key")
-    galleries = load(spark, root, "galleries").select(
-        key, F.element_at("locator", -1).alias("gallery_name"), "gid", "title", F.timestamp_micros("download_time").cast("timestamp_ntz").alias("download_time")
-    )
-    files = load(spark, root, "files").select(key, F.col("name_bytes").cast("string").alias("name"), "sha256", "size_bytes")
-    tags = load(spark, root, "tags").select(key, "ordinal", "namespace", "value")
-    return Snapshot(galleries, files, tags)
+
+def snapshot(spark: SparkSession, root: str, scope: str) -> Snapshot:
+    """The policy's relations of a tree, all from one walk."""
+    return freeze(spark, root).snapshot(scope)
 
 
 def plant(root: str, galleries: dict[str, dict]) -> None:
@@ -265,11 +374,12 @@ def plant(root: str, galleries: dict[str, dict]) -> None:
 
 
 def scan_self_check(spark: SparkSession) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    base = base.removeprefix("file://") if base.startswith(("file:/", "/")) else None
-    if base:
-        os.makedirs(base, exist_ok=True)
-    root = tempfile.mkdtemp(prefix="shelfmark-tree-", dir=base or None)
+    """The files of a small tree, planted in the scratch folder, which must be a folder for this."""
+    root = scratch(spark, "tree")
+    if not re.match("file:/|/", root):
+        raise RuntimeError("the tree source reads folders; spark.checkpoint.dir is none")
+    root = re.sub("^file:/+", "/", root)
     plant(root, {"nested/1001": {"title": "A title", "tags": ["artist:first"], "files": {"002.jpg": b"second", "001.jpg": b"first"}}, "1002": {"title": "B", "tags": [], "files": {"001.jpg": b"first"}}})
-    rows = load(spark, root, "files").select(F.array_join("locator", "/").alias("locator"), F.col("name_bytes").cast("string").alias("name"), "sha256", "size_bytes")
+    rows = freeze(spark, root).relation("files")
+    rows = rows.select(F.array_join("locator", "/").alias("locator"), F.col("name_bytes").cast("string").alias("name"), "sha256", "size_bytes")
     return rows.where(F.col("name") != METADATA_FILE)
