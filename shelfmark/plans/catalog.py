@@ -261,7 +261,12 @@ def winner_tombstones(spark, d):
     return _step(spark, d).winner_tombstones
 
 
-@query(_f3("select 'owner' as relation, 0::bigint as outside union all select 'winner', 0::bigint"))
+_OWNERS_GONE = "select content_sha256 from o_own except select content_sha256 from n_own"
+_WINNERS_GONE = "select gid from o_win except select gid from n_win"
+
+
+@query(_f3(f"""select 'owner' as relation, count(*) as outside from ({_OWNERS_GONE}) where content_sha256 not in ({_workset("cand", "content_sha256")})
+union all select 'winner', count(*) from ({_WINNERS_GONE}) where gid not in ({_workset("comp", "gid")})"""))
 def tombstones_outside_workset(spark, d):
     """Tombstones that their workset lacks: none."""
     step = _step(spark, d)
@@ -282,7 +287,8 @@ def artifact_delta(spark, d):
     return _step(spark, d).artifact_delta
 
 
-@query(_f3(f"select op, count(*) as galleries, 1::bigint as ops_of_a_gallery from {_DELTA} group by 1"))
+@query(_f3(f"""select op, count(*) as galleries, max(n) as ops_of_a_gallery
+from (select gallery_key, max(op) as op, count(*) as n from {_DELTA} group by 1) group by 1"""))
 def artifact_delta_partition_check(spark, d):
     rows = _step(spark, d).artifact_delta
     each = rows.groupBy("gallery_key").agg(F.count(F.lit(1)).alias("n"), F.max("op").alias("op"))
@@ -683,14 +689,38 @@ def thumbnail_geometry(spark, d):
     return rows.select(F.col("p_partkey").alias("id"), width.alias("width"), height.alias("height"))
 
 
+@query("""select o_orderkey as id, lpad(hex((o_orderkey::hugeint * 30744573456181)::ubigint), 16, '0') as blob, (o_orderkey::hugeint * 30744573456181)::varchar as number from orders""")
+def stat_codec(spark, d):
+    """Device and inode numbers as eight stored bytes, and back."""
+    number = F.col("o_orderkey").cast("decimal(20,0)") * F.lit("30744573456181").cast("decimal(18,0)")
+    rows = fx.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), number.alias("device"), number.alias("inode"),
+        *[F.lit(0).cast("bigint").alias(c) for c in audit.STAT[2:]],
+    )
+    stored = audit.encode_stat(rows)
+    back = audit.decode_stat(stored).select("id", F.col("inode").cast("string").alias("number"))
+    return stored.select("id", F.hex("device").alias("blob")).join(back, "id")
+
+
+_PRODUCERS = [("w1", "cpython-313", "10.1", "3.0", "1.3.1"), ("w1", "cpython-313", "10.1", "3.0", "1.3.2"), ("", "é", "unknown", "unknown", "1")]
+
+
+@query("select x[1] as writer, x[5] as zlib, sha256(unhex('" + codec.prefix_hex(codec.PRODUCER_PREFIX) + "' || " + _LIST_PAYLOAD.format("x") + ")) as fingerprint_sha256 from (values "
+       + ", ".join(f"({list(p)})" for p in _PRODUCERS) + ") v(x)")
+def producer_fingerprint(spark, d):
+    rows = spark.createDataFrame(_PRODUCERS, "writer string, python string, images string, jpeg string, zlib string")
+    return artifacts.with_fingerprint(rows).select("writer", "zlib", "fingerprint_sha256")
+
+
 @query("select event_id, epoch_us(ts) as micros from events")
 def wall_time_micros(spark, d):
     return fx.table(spark, d, "events").select("event_id", codec.wall_micros(F.col("ts")).alias("micros"))
 
 
-@query()
+@query("""select * from (values ('nested/1001', '001.jpg', sha256('first'), 5::bigint), ('nested/1001', '002.jpg', sha256('second'), 6),
+('1002', '001.jpg', sha256('first'), 5)) v(locator, name, sha256, size_bytes)""")
 def tree_scan(spark, d):
-    """Galleries of a directory tree made for the purpose, read by the tree source."""
+    """Files of a directory tree made for the purpose, frozen and read off its one walk."""
     return scan_self_check(spark)
 
 

@@ -8,15 +8,6 @@ import pytest
 from shelfmark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: The others run in test time too, but say little that these do not.
-CHOSEN = [
-    "hash_evidence_nested", "spam_hashes", "catalog_winners", "catalog_winners_orders", "member_plan", "source_manifest", "artifact_inputs", "publications",
-    "changed_spam", "owner_workset", "winner_tombstones", "artifact_delta", "incremental_state", "constraint_violations", "domain_checks", "context_guard",
-    "locator_order", "locator_pages", "locator_roundtrip", "entry_audit", "metadata_audit", "replay_violations", "file_pages", "tag_pages", "friendly_leaf",
-    "friendly_path_yyyy_mm", "projection_actions", "projection_actions_recovering", "projection_phase_timeline", "projection_checkpoint", "token_outcomes",
-    "lease_timeline", "lease_stream", "lease_expired", "sticky_failure", "resident_schedule", "step_phases", "thumbnail_geometry", "wall_time_micros",
-]
-
 
 @pytest.fixture(scope="module")
 def oracle(tiny):
@@ -27,7 +18,7 @@ def oracle(tiny):
     return con
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_its_oracle(spark, tiny, oracle, name):
     df = catalog.queries()[name](spark, tiny)
     columns = sorted(df.columns)
@@ -37,8 +28,7 @@ def test_query_matches_its_oracle(spark, tiny, oracle, name):
 
 
 def test_names_agree():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries())
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"tree_scan"}
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 def test_keyset_scan_pushes_its_predicate(spark, tiny):
@@ -48,3 +38,53 @@ def test_keyset_scan_pushes_its_predicate(spark, tiny):
     plan = page.items._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(doc_id,5)" in plan and "TakeOrderedAndProject" in plan
     assert [r[0] for r in page.items.collect()] == list(range(6, 16)) and not page.terminal and page.next_after == 15
+
+
+def test_long_lists_are_numbered_without_gaps(spark):
+    """More rows than a sample of the ranges holds: places and pages are those of one sorted list."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators.paging import ranged
+
+    rows = spark.range(150_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    found = ranged(rows, "key", 128)
+    want = rows.withColumn("want", F.row_number().over(Window.orderBy("key")) - 1)
+    both = found.join(want, "key")
+    assert both.count() == 150_000 and both.where("place <> want or page <> want div 128").count() == 0
+    assert found.where("terminal").count() == 150_000 % 128
+
+
+def test_scratch_folder_is_never_a_machines_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from shelfmark.session import scratch_root
+
+    def session(master, set_=None, context=None):
+        made = SimpleNamespace(master=master, applicationId="app", getCheckpointDir=lambda: context, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(sparkContext=made, conf=SimpleNamespace(get=lambda k, d: set_))
+
+    assert scratch_root(session("yarn", "hdfs://x/c/")) == "hdfs://x/c/shelfmark/app"
+    assert scratch_root(session("yarn", None, "s3://b/d")) == "s3://b/d/shelfmark/app"
+    assert scratch_root(session("local[4]")).startswith("file:///tmp/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_root(session(master))
+
+
+def test_the_entry_hides_no_import_faults(tmp_path):
+    """Without the training-data operators the entry works; a fault inside them is raised."""
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(here, "shelfmark"), tmp_path / "shelfmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(catalog.queries()))] * 2
+    os.mkdir(tmp_path / "shelfmark/llm")  # a folder that is left over is no package
+    assert run().returncode == 0
+    (tmp_path / "shelfmark/llm/queries.py").write_text("import no_such_module\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "no_such_module" in run().stderr

@@ -6,10 +6,12 @@ import os
 
 import pytest
 
+from shelfmark import schema
 from shelfmark.functions import codec
 from shelfmark.operators import coordination as co
 from shelfmark.operators.incremental import Evaluation
 from shelfmark.sources import config, sinks, tree
+from shelfmark.sources.adapter import SourceAdapter
 
 SCOPE = "ab" * 32
 
@@ -42,6 +44,65 @@ def test_tree_faults(spark, root, tmp_path):
         list(tree.walk(os.path.join(root, "nested/1001"), ()))
 
 
+def test_a_frozen_tree_is_one_walk(spark, root, monkeypatch):
+    frozen = tree.freeze(spark, root)
+    for what in tree.RELATIONS:
+        same = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+        assert same(frozen.relation(what)) == same(tree.load(spark, root, what))
+    adapter = SourceAdapter(frozen)
+    place = ["nested", "1001"]
+    adapter.list_files(place, None, 1)  # the relation is written once
+    monkeypatch.setattr(os, "scandir", lambda *_: pytest.fail("a later page scanned a directory"))
+    names, after = [], None
+    while True:
+        page = adapter.list_files(place, after, 2)
+        names += [bytes(r["name_bytes"]) for r in page.items.collect()]
+        if page.terminal:
+            break
+        after = bytes(page.next_after)
+    assert names == [b"001.jpg", b"002.jpg", b"_x.jpg", b"galleryinfo.txt"]
+    first = adapter.list_tags(place, None, 1)
+    second = adapter.list_tags(place, first.next_after, 1)
+    assert [r["value"] for r in first.items.collect()] == ["first"] and first.next_after == 0
+    assert [r["value"] for r in second.items.collect()] == ["english"] and second.terminal
+    assert adapter.observe_gallery(place)["gid"] == 1001 and adapter.list_entries(place, None, 128).items.count() == 6
+    with pytest.raises(tree.TreeChanged):
+        adapter.observe_gallery(["other"])
+
+
+def test_pages_of_galleries_and_a_wide_tree(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    tree.plant(path, {f"one/sub{i % 3}/{1000 + i}": {"title": f"t{i}", "tags": [], "files": {"a": b"x"}} for i in range(12)})
+    parts = tree.TreeReader(path, "discovery").partitions()
+    assert len(parts) >= 12  # one folder at the top does not make one task
+    adapter, seen, after = SourceAdapter(tree.freeze(spark, path)), [], None
+    while True:
+        page = adapter.list_galleries(after, 5)
+        seen += [tuple(r["locator"]) for r in page.items.collect()]
+        if page.terminal:
+            break
+        after = page.next_after
+    assert seen == sorted({("one", f"sub{i % 3}", str(1000 + i)) for i in range(12)})
+
+
+def test_changes_are_noticed(spark, root):
+    frozen = tree.freeze(spark, root)
+    frozen.verify()
+    observed = os.path.join(root, "nested/1001/001.jpg")
+    sha = hashlib.sha256(b"first").hexdigest()
+    assert b"".join(tree.content_parts(observed, sha)) == b"first"
+    with pytest.raises(tree.TreeChanged):
+        list(tree.content_parts(observed, "0" * 64))
+    with open(observed, "wb") as f:
+        f.write(b"other")
+    with pytest.raises(Exception, match="not as it was|changed since"):
+        frozen.verify()
+    frozen = tree.freeze(spark, root)
+    tree.plant(root, {"7": {"title": "new", "tags": [], "files": {}}})
+    with pytest.raises(tree.TreeChanged, match="appeared"):
+        frozen.verify()
+
+
 def test_end_to_end_from_trees(spark, tmp_path):
     page = {"001.jpg": b"same page"}
     path = str(tmp_path / "e2e")
@@ -81,13 +142,102 @@ def test_artifacts_are_immutable(spark, tmp_path):
 
 
 def test_tokens(tmp_path):
-    store = sinks.TokenStore(str(tmp_path / "tokens"))
-    assert [store.protect("t", "l"), store.protect("t", "l"), store.release("t", "l"), store.release("t", "l"), store.protect("t", "l")] == [
+    store, other = (sinks.TokenStore(str(tmp_path / "tokens")) for _ in range(2))
+    assert [store.protect("t", "l"), other.protect("t", "l"), store.release("t", "l"), other.release("t", "l"), store.protect("t", "l")] == [
         "PROTECTED", "ALREADY_PROTECTED", "RELEASED", "ALREADY_RELEASED", "NOT_STORED"]
+    with open(tmp_path / "tokens", "ab") as f:
+        f.write(b'["u", "l"')  # cut short
+    assert sinks.TokenStore(str(tmp_path / "tokens")).protect("u", "m") == "PROTECTED"
     with pytest.raises(ValueError):
         sinks.TokenStore(str(tmp_path / "tokens")).release("t", "other")
 
 
+def item(key, path="p"):
+    return {"publication_key": key, "path_name": path, "artifact_locator": "a", "artifact_sha256": "s", "size_bytes": 1}
+
+
+def test_projection_pages_and_swap(spark, tmp_path):
+    p, receipt = sinks.Projection(str(tmp_path / "p")), b"r" * 16
+    with pytest.raises(RuntimeError, match="guard"):
+        p.begin(1, receipt)
+    with sinks.publication_guard(str(tmp_path / "lock")):
+        for wrong in (0, True, 1 << 63):
+            with pytest.raises(ValueError):
+                p.begin(wrong, receipt)
+        with pytest.raises(ValueError):
+            p.begin(1, b"short")
+        assert p.begin(1, receipt) == "SPOOL"
+        p.append_page(1, [item("a", "pa"), item("b", "pb")])
+        for wrong, error in (([item("b")], ValueError), ([item("d"), item("c")], ValueError), ([item("c", "pa")], RuntimeError), ([item("c", "x"), item("d", "x")], RuntimeError),
+                             ([item(f"k{i:03}", str(i)) for i in range(129)], ValueError)):
+            with pytest.raises(error):
+                p.append_page(1, wrong)
+        p = sinks.Projection(str(tmp_path / "p"))  # a restart
+        assert p.begin(1, receipt) == "SPOOL"
+        with pytest.raises(RuntimeError):
+            p.begin(2, receipt)
+        with pytest.raises(RuntimeError):
+            p.begin(1, b"x" * 16)
+        p.append_page(1, [item("c", "pc")])
+        p.seal(1)
+        with pytest.raises(RuntimeError):
+            p.append_page(1, [item("d", "pd")])
+        assert [r["path_name"] for r in p.pending(spark).collect()] == ["pa", "pb", "pc"] and p.begin(1, receipt) == "RECONCILE"
+        p.apply(1)
+        assert p.current(spark) is None
+        p.install(1, {"pa": "1", "pb": "2", "pc": "3"})
+        assert p.begin(1, receipt) == "COMPLETE" and p.pending(spark) is None
+        assert [(r["path_name"], r["signature"]) for r in p.current(spark).collect()] == [("pa", "1"), ("pb", "2"), ("pc", "3")]
+        assert p.begin(2, receipt) == "SPOOL"
+        p.seal(2)
+        p.apply(2)
+        p.install(2, {})
+        assert p.current(spark).count() == 0
+        with pytest.raises(RuntimeError):
+            p.begin(1, receipt)
+
+
+def test_disabled_projection_and_guards(tmp_path):
+    off = sinks.projection_of(config.Config(source="s", artifacts="a"))
+    assert off.begin(1, b"r" * 16) == "COMPLETE"
+    for call in (lambda: off.append_page(1, []), lambda: off.seal(1), lambda: off.install(1, {})):
+        with pytest.raises(RuntimeError):
+            call()
+    with sinks.publication_guard(str(tmp_path / "lock")):
+        with pytest.raises(RuntimeError):
+            with sinks.publication_guard(str(tmp_path / "lock")):
+                pass
+    assert schema.token(b"t" * 184) and schema.receipt(b"r" * 16)
+    for wrong in (b"t" * 183, bytearray(184)):
+        with pytest.raises(ValueError):
+            schema.token(wrong)
+
+
+def test_no_links_among_parents(tmp_path):
+    root, other = tmp_path / "root", tmp_path / "other"
+    root.mkdir()
+    other.mkdir()
+    (tmp_path / "src").write_bytes(b"x")
+    os.symlink(other, root / "linked")
+    os.symlink(tmp_path / "src", tmp_path / "src-link")
+    sha = hashlib.sha256(b"x").hexdigest()
+    for path in ("linked/p", "../p", "a//p", "/p", "a/./p"):
+        with pytest.raises(ValueError):
+            sinks.atomic_copy(str(tmp_path / "src"), str(root), path, sha, 1, managed=False)
+    with pytest.raises((OSError, tree.TreeChanged)):
+        sinks.atomic_copy(str(tmp_path / "src-link"), str(root), "q", sha, 1, managed=False)
+    sinks.atomic_copy(str(tmp_path / "src"), str(root), "a/b/p", sha, 1, managed=False)
+    assert (root / "a/b/p").read_bytes() == b"x" and not os.listdir(other)
+
+
+def test_producers(spark):
+    from shelfmark.operators.artifacts import Producer
+
+    a, b = Producer.current(), Producer.current("other")
+    rows = spark.range(1).select(a.fingerprint().alias("a"), b.fingerprint().alias("b")).first()
+    assert len(rows["a"]) == 64 and rows["a"] != rows["b"]
+
+
 def test_reconcile(tmp_path):
     art, out = tmp_path / "art", tmp_path / "out"
     art.mkdir()

@@ -108,19 +108,38 @@ def test_ties_and_priorities(spark):
     assert state(Evaluation(relations(spark, lonely)))[3] == {2: "b"}  # gid 1 has no winner
 
 
+CASES_AT_ONCE = 500
+
+
+def apart(case, galleries):
+    """The galleries of one case under keys, numbers and hashes of their own, so that many cases share a Spark job."""
+    own = lambda h: hashlib.sha256(f"{case}:{h}".encode()).hexdigest()
+    return [g | {"key": f"{case:04}/{g['key']}", "gid": case * 10 + g["gid"], "hashes": [own(h) for h in g["hashes"]]} for g in galleries]
+
+
 def test_generated_transitions_agree_with_plain_python_and_with_full_evaluation(spark):
     rng = random.Random(20240501)
-    for _ in range(3):
-        old, new = drawn(rng), drawn(rng)
-        a, b = Evaluation(relations(spark, old)), Evaluation(relations(spark, new))
-        step = Step(a, relations(spark, new))
-        assert state(a) == plain(old)
-        assert state(step) == state(b) == plain(new)
-        gone = {r[0] for r in step.owner_tombstones.collect()}
-        assert gone == set(plain(old)[2]) - set(plain(new)[2])
-        assert gone <= {r[0] for r in step.owner_workset.collect()}
-        ops = [(r["gallery_key"], r["op"]) for r in step.artifact_delta.collect()]
-        assert len(ops) == len({k for k, _ in ops}) and {k for k, _ in ops} == plain(old)[4] | plain(new)[4]
+    cases = [(apart(i, drawn(rng)), apart(i, drawn(rng))) for i in range(CASES_AT_ONCE)]
+    old, new = ([g for case in cases for g in case[k]] for k in (0, 1))
+    a, b = Evaluation(relations(spark, old)), Evaluation(relations(spark, new))
+    step = Step(a, relations(spark, new))
+
+    def each(k):
+        """Plain Python, case by case."""
+        out = ({}, {}, {}, {}, set())
+        for case in cases:
+            for total, part in zip(out, plain(case[k])):
+                total.update(part)
+        return out
+
+    before, after = each(0), each(1)
+    assert state(a) == before
+    assert state(step) == state(b) == after
+    gone = {r[0] for r in step.owner_tombstones.collect()}
+    assert gone == set(before[2]) - set(after[2])
+    assert gone <= {r[0] for r in step.owner_workset.collect()}
+    ops = [(r["gallery_key"], r["op"]) for r in step.artifact_delta.collect()]
+    assert len(ops) == len({k for k, _ in ops}) and {k for k, _ in ops} == before[4] | after[4]
 
 
 def test_empty_snapshots(spark):
