@@ -587,3 +587,21 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     found = materialise(_rows(docs, size, percent), "join-result")
     dropped = found.where("doc_id <> component_id or node <> keeper").select("doc_id", "text_key")
     return matching(docs, dropped, dropped.count(), "left_anti")
+
+
+#: The rows of link() in DuckDB SQL, by all pairs that share a shingle and the closure of their links.
+ORACLE_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents),
+s as (
+  select doc_id, case when len(words) >= 5 then list_distinct([array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)])
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end as shingles
+  from w),
+n as (select doc_id, len(shingles)::bigint as n_shingles from s),
+e as (select doc_id, unnest(shingles) as shingle from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as common from e a join e b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)),
+r as (select doc_id, doc_id as reached from n union select r.doc_id, l.y from r join l on l.x = r.reached)
+select r.doc_id, any_value(n_shingles) as n_shingles, min(reached) as component_id from r join n on n.doc_id = r.doc_id group by r.doc_id
+"""

@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_source_mixing": mixing.oracle_sql(), "op10_exact_dedup": stream_dedup.ORACLE_SQL}
+    return {"op2_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_source_mixing": mixing.oracle_sql(), "op10_exact_dedup": stream_dedup.ORACLE_SQL}
