@@ -12,7 +12,8 @@ Two transducers stand for a byte-level BPE tokenizer file.
   grow into a token, and for each the last token before it and the tokens since. That an
   encoding is right if each two neighbours are makes these states finite in number. States and transitions are
   compiled when first met and kept in a hash table for all later texts; distinct pieces of a batch
-  run through the table side by side.
+  run through the table side by side. A very long piece is cut into chunks that run side by side too, from
+  states foreseen by the bytes before them; their maps compose where the states meet, and the others run again.
 
 The classes of characters are probed from the library, so that they are those of its Unicode version.
 
@@ -35,6 +36,8 @@ from shelfmark.llm.common import text_slices, tidied
 
 #: Bytes of text that a task looks at together; more of them share their distinct pieces.
 RUN = 4 << 20
+#: Bytes beyond which a single piece is cut into chunks, of a chunk, and that are read ahead of one.
+LONG, PART, LEAD = 4_096, 512, 128
 
 # --- the splitter ----------------------------------------------------------------
 
@@ -280,19 +283,46 @@ class Counter:
             self.number, self.states, self.keys = {start: 0}, [start], None
             self._grow(1 << 16)
         sizes = np.diff(offsets)
+        _, total = self._run(data, offsets[:-1], sizes, np.zeros(len(sizes), np.int64), LONG)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            total[i] = self._composed(data[offsets[i] : offsets[i + 1]])
+        return total
+
+    def _run(self, data: np.ndarray, start: np.ndarray, sizes: np.ndarray, state: np.ndarray, most: int | None = None):
+        """States and counts after the byte strings, side by side from their states; those longer than `most` are left out."""
         order = np.argsort(-sizes, kind="stable")
-        start, sizes = offsets[:-1][order], sizes[order]
-        state = np.zeros(len(order), np.int64)
+        if most is not None:
+            order = order[int((sizes > most).sum()) :]
+        begin, length, now = start[order], sizes[order], state[order]
         total = np.zeros(len(order), np.int64)
         live = len(order)
-        for j in range(int(sizes[0]) if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes[:live], -j, side="left"))  # those longer than j
-            at = self._find(state[:live] * 256 + data[start[:live] + j])
-            state[:live] = self.to[at]
+        for j in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length[:live], -j, side="left"))  # those longer than j
+            at = self._find(now[:live] * 256 + data[begin[:live] + j])
+            now[:live] = self.to[at]
             total[:live] += self.change[at]
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+        after, counted = state.copy(), np.zeros(len(sizes), np.int64)
+        after[order], counted[order] = now, total
+        return after, counted
+
+    def _composed(self, data: np.ndarray) -> int:
+        """The count of one long piece: its chunks run side by side, each as the map of one state.
+
+        A chunk's state is foreseen by reading the bytes before it, from which the transducer nearly always falls
+        into step. The maps compose where each begins with the state in which the one before it ends;
+        chunks that do not are run again from that state, until all fit.
+        """
+        start = np.arange(0, len(data), PART)
+        sizes = np.minimum(PART, len(data) - start)
+        lead = np.minimum(start, LEAD)
+        entry, _ = self._run(data, start - lead, lead, np.zeros(len(start), np.int64))
+        after, total = self._run(data, start, sizes, entry)
+        while True:
+            wrong = np.flatnonzero(after[:-1] != entry[1:]) + 1
+            if not len(wrong):
+                return int(total.sum())
+            entry[wrong] = after[wrong - 1]
+            after[wrong], total[wrong] = self._run(data, start[wrong], sizes[wrong], entry[wrong])
 
 
 _COUNTERS: dict[str, Counter] = {}

@@ -287,6 +287,15 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     assert token_counts.count(empty, path).count() == 0
 
 
+def test_long_pieces_are_counted_in_chunks():
+    """Pieces of a hundred thousand bytes without a cut, periodic ones among them, count as in the library."""
+    path, want, rng = tokenize.tokenizer_path("byte_bpe_50k.json"), library("byte_bpe_50k.json"), random.Random(4)
+    counter, kinds = token_counts.Counter(path), np.frombuffer(token_counts.character_classes(path), np.uint8)
+    some = ["x" * 100_001, "ab" * 9_999, "the" * 7_000 + "n", "!" * 30_000, "=-" * 20_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "日本" * 5_000]
+    got = np.concatenate([token_counts.count_run(counter, kinds, o, d) for _, _, o, d in text_slices(pa.array(some), 1 << 20)])
+    assert got.tolist() == [len(want.encode(t, add_special_tokens=False).ids) for t in some]
+
+
 def test_state_maps_compose_to_the_sequential_run():
     rng = np.random.default_rng(3)
     kinds = rng.integers(0, len(token_counts.CLASSES), 2000).astype(np.uint8)
