@@ -18,9 +18,13 @@ PHASES = ("SOURCE", "ANALYSIS", "PUBLICATION", "FINALIZATION")
 
 
 def phase_checks(steps: DataFrame) -> DataFrame:
-    """steps (seq, phase) with valid: a step keeps the furthest phase so far or goes on to the next."""
+    """steps (run, seq, phase) with valid: a step keeps its run's furthest phase so far or goes on to the next.
+
+    Without a column run all steps are those of one run.
+    """
+    runs = [c for c in steps.columns if c == "run"]
     order = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
-    before = F.max(order).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(order).over(Window.partitionBy(*runs).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     step = order - F.coalesce(before, F.lit(1))
     return steps.withColumn("valid", (order > 0) & step.between(0, 1))
 
@@ -155,6 +159,11 @@ def check_receipts(sealed_source: bool, last_stage: str, phase: str) -> None:
         raise RuntimeError("the publication did not reach its end")
 
 
+def exists(rows: DataFrame) -> bool:
+    """Whether there is any row; the scan ends with the first."""
+    return rows.limit(1).count() > 0
+
+
 def bootstrap_preflight(revision: int, publications: int, source_is_empty: bool) -> None:
     """A first publication only: nothing published yet, and something to publish."""
     if revision or publications:
@@ -163,6 +172,11 @@ def bootstrap_preflight(revision: int, publications: int, source_is_empty: bool)
         raise RuntimeError("the source is empty")
 
 
+def preflight_of(revision: int, publications: DataFrame, galleries: DataFrame) -> None:
+    """bootstrap_preflight with what the relations hold."""
+    bootstrap_preflight(revision, int(exists(publications)), not exists(galleries))
+
+
 class Resident:
     """Polls for work; scans at once and then every scan interval; after a success it goes on without waiting."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,64 +69,87 @@ def collectable(present: DataFrame, *holders: DataFrame) -> DataFrame:
 OPEN, SEALED, APPLYING, IDLE = "OPEN", "SEALED", "APPLYING", "IDLE"
 
 
+LOG = "projection string, seq bigint, event string, result string, phase string, current_revision bigint, pending_revision bigint, cursor string"
+
+
+@dataclass
+class Phases:
+    """One projection: its phase, what is current, what is pending, and the last key of the pending pages."""
+
+    phase: str = IDLE
+    current: int = 0
+    current_receipt: str | None = None
+    pending: int | None = None
+    pending_receipt: str | None = None
+    cursor: str | None = None
+
+    def step(self, event: str, revision: int | None, receipt: str | None, key: str | None) -> str:
+        """The event's result; a refused event changes nothing."""
+        if event == "begin":
+            return self._begin(revision, receipt)
+        mine = revision is not None and revision == self.pending
+        if event == "append":
+            if self.phase != OPEN or not mine:
+                return "ERROR_PHASE"
+            if self.cursor is not None and (key is None or key <= self.cursor):
+                return "ERROR_ORDER"
+            self.cursor = key
+            return "APPENDED"
+        if event == "seal":
+            if self.phase != OPEN or not mine:
+                return "ERROR_PHASE"
+            self.phase = SEALED
+            return "SEALED"
+        if event not in ("reconcile", "crash"):
+            return "ERROR_EVENT"
+        if self.phase not in (SEALED, APPLYING) or not mine:
+            return "ERROR_PHASE"
+        if event == "crash":
+            self.phase = APPLYING
+            return "INTERRUPTED"
+        self.phase, self.current, self.current_receipt = IDLE, self.pending, self.pending_receipt
+        self.pending = self.pending_receipt = self.cursor = None
+        return "INSTALLED"
+
+    def _begin(self, revision: int | None, receipt: str | None) -> str:
+        if revision is None or revision < self.current:
+            return "ERROR_OLDER"
+        if self.phase != IDLE:
+            if revision != self.pending:
+                return "ERROR_UNFINISHED"
+            if receipt != self.pending_receipt:
+                return "ERROR_RECEIPT"
+            return "SPOOL" if self.phase == OPEN else "RECONCILE"
+        if revision == self.current:
+            return "COMPLETE" if receipt == self.current_receipt else "ERROR_RECEIPT"
+        self.phase, self.pending, self.pending_receipt, self.cursor = OPEN, revision, receipt, None
+        return "OPENED"
+
+
 def timeline(events: DataFrame) -> DataFrame:
-    """Fold each projection's events by seq: (projection, seq, event, result, phase, current_revision, pending_revision).
+    """Fold each projection's events by seq: (projection, seq, event, result, phase, current_revision, pending_revision, cursor).
 
-    events: projection, seq, event, revision, receipt, key. A refused event changes nothing. The events of
-    one projection are one small log and are folded by one expression.
+    events: projection, seq, event, revision, receipt, key. Each event's result hangs on all before it, so a
+    projection's events are folded in order, one by one, while sorted batches pass by; a task
+    holds a batch and one state, however long the log is.
     """
-    schema = "phase string, current bigint, current_receipt string, pending bigint, pending_receipt string, cursor string, log array<struct<seq:bigint,event:string,result:string,phase:string,current_revision:bigint,pending_revision:bigint,cursor:string>>"
-    start = F.from_json(F.lit('{"phase":"IDLE","current":0,"log":[]}'), schema)
-
-    def step(s, e):
-        idle, open_ = s["phase"] == IDLE, s["phase"] == OPEN
-        same, receipt = s["pending"] == e["revision"], s["pending_receipt"].eqNullSafe(e["receipt"])
-        begin = (
-            F.when(e["revision"] < s["current"], "ERROR_OLDER")
-            .when(~idle & ~F.coalesce(same, F.lit(False)), "ERROR_UNFINISHED")
-            .when(~idle & ~receipt, "ERROR_RECEIPT")
-            .when(open_, "SPOOL")
-            .when(~idle, "RECONCILE")
-            .when((s["current"] == e["revision"]) & s["current_receipt"].eqNullSafe(e["receipt"]), "COMPLETE")
-            .when(s["current"] == e["revision"], "ERROR_RECEIPT")
-            .otherwise("OPENED")
-        )
-        append = (
-            F.when(~open_ | ~F.coalesce(same, F.lit(False)), "ERROR_PHASE")
-            .when(s["cursor"].isNotNull() & (e["key"] <= s["cursor"]), "ERROR_ORDER")
-            .otherwise("APPENDED")
-        )
-        seal = F.when(open_ & F.coalesce(same, F.lit(False)), "SEALED").otherwise("ERROR_PHASE")
-        ready = s["phase"].isin(SEALED, APPLYING) & F.coalesce(same, F.lit(False))
-        result = (
-            F.when(e["event"] == "begin", begin).when(e["event"] == "append", append).when(e["event"] == "seal", seal)
-            .when(e["event"] == "reconcile", F.when(ready, "INSTALLED").otherwise("ERROR_PHASE"))
-            .when(e["event"] == "crash", F.when(ready, "INTERRUPTED").otherwise("ERROR_PHASE"))
-            .otherwise("ERROR_EVENT")
-        )
-        phase = (
-            F.when(result == "OPENED", OPEN).when(result == "SEALED", SEALED).when(result == "INTERRUPTED", APPLYING)
-            .when(result == "INSTALLED", IDLE).otherwise(s["phase"])
-        )
-        opened, installed = result == "OPENED", result == "INSTALLED"
-        current = F.when(installed, s["pending"]).otherwise(s["current"])
-        pending = F.when(opened, e["revision"]).when(installed, F.lit(None).cast("bigint")).otherwise(s["pending"])
-        cursor = F.when(opened | installed, F.lit(None).cast("string")).when(result == "APPENDED", e["key"]).otherwise(s["cursor"])
-        entry = F.struct(
-            e["seq"].alias("seq"), e["event"].alias("event"), result.alias("result"), phase.alias("phase"),
-            current.alias("current_revision"), pending.alias("pending_revision"), cursor.alias("cursor"),
-        )
-        return F.struct(
-            phase.alias("phase"), current.alias("current"),
-            F.when(installed, s["pending_receipt"]).otherwise(s["current_receipt"]).alias("current_receipt"),
-            pending.alias("pending"),
-            F.when(opened, e["receipt"]).when(installed, F.lit(None).cast("string")).otherwise(s["pending_receipt"]).alias("pending_receipt"),
-            cursor.alias("cursor"), F.concat(s["log"], F.array(entry)).alias("log"),
-        )
-
-    log = F.array_sort(F.collect_list(F.struct("seq", "event", "revision", "receipt", "key")))
-    folded = events.groupBy("projection").agg(log.alias("events")).withColumn("state", F.aggregate("events", start, step))
-    return folded.select("projection", F.explode("state.log").alias("entry")).select("projection", "entry.*")
+
+    def fold(batches):
+        name, state = None, Phases()
+        for pdf in batches:
+            out = []
+            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                if r.projection != name:
+                    name, state = r.projection, Phases()
+                revision = None if r.revision is None else int(r.revision)
+                result = state.step(r.event, revision, r.receipt, r.key)
+                out.append((name, int(r.seq), r.event, result, state.phase, state.current, state.pending, state.cursor))
+            columns = [part.split()[0] for part in LOG.split(", ")]
+            made = pd.DataFrame(out, columns=columns)
+            yield made.astype({"current_revision": "Int64", "pending_revision": "Int64"})
+
+    rows = events.select("projection", "seq", "event", "revision", "receipt", "key").repartition("projection")
+    return rows.sortWithinPartitions("projection", "seq").mapInPandas(fold, LOG)
 
 
 def checkpoint(log: DataFrame) -> DataFrame:

@@ -47,16 +47,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove all that this application has written there; results that still read it are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the scratch folder and read it back: cuts the lineage and fixes the rows."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of written() that nothing reads any more; all that was made of them must be written itself."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("_scratch_path")
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has written there; results that still read it are lost."""
+    _delete(spark, scratch_root(spark))

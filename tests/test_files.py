@@ -274,6 +274,26 @@ def test_config(tmp_path):
         config.load_config(str(path), {})
 
 
+def test_long_logs_are_folded_and_phases_belong_to_runs(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators.projection import timeline
+
+    n, LOG = 30_000, "projection string, seq bigint, event string, revision bigint, receipt string, key string"
+    log = spark.range(n).select(
+        F.lit("p").alias("projection"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "begin").otherwise("append").alias("event"),
+        F.lit(1).cast("bigint").alias("revision"), F.lit("r").alias("receipt"), F.lpad(F.col("id").cast("string"), 6, "0").alias("key"),
+    )
+    found = timeline(log.union(spark.createDataFrame([("q", 0, "append", 1, "r", "x"), ("q", 1, "begin", None, None, None)], LOG)))
+    assert {(r["projection"], r["result"]): r["count"] for r in found.groupBy("projection", "result").count().collect()} == {
+        ("p", "OPENED"): 1, ("p", "APPENDED"): n - 1, ("q", "ERROR_PHASE"): 1, ("q", "ERROR_OLDER"): 1}
+    steps = spark.createDataFrame([("a", 1, "SOURCE"), ("b", 2, "SOURCE"), ("a", 3, "ANALYSIS"), ("b", 4, "PUBLICATION")], "run string, seq bigint, phase string")
+    assert [r["valid"] for r in co.phase_checks(steps).orderBy("seq").collect()] == [True, True, True, False]
+    with pytest.raises(RuntimeError):
+        co.preflight_of(0, steps.limit(0), steps.limit(0))
+    co.preflight_of(0, steps.limit(0), steps)
+
+
 def test_leases_and_runs():
     now = [0.0]
     lease = co.Lease(10, clock=lambda: now[0])
