@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.session import scratch  # noqa: F401
+from shelfmark.session import discard, scratch  # noqa: F401
 from shelfmark.session import written as materialise  # noqa: F401
 
 #: Rows up to which a key table of a few dozen bytes a row is broadcast; beyond it joins shuffle.

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded, matching, materialise, mix, text_key, text_slices, tidied, word_hashes
+from shelfmark.llm.common import bounded, discard, matching, materialise, mix, text_key, text_slices, tidied, word_hashes
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.5
@@ -384,7 +384,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perc
     # repeated doc_ids may bring other texts, and equal ones from several tasks
     sets = sets.join(bounded(wanted.select("node"), n), "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(sets, "join-sets")
-    return materialise(_sides(pairs, sets, ["elements"]).mapInArrow(tidied(_linked(percent)), "x bigint, y bigint"), "join-links")
+    links = materialise(_sides(pairs, sets, ["elements"]).mapInArrow(tidied(_linked(percent)), "x bigint, y bigint"), "join-links")
+    discard(wanted, sets)
+    return links
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -405,7 +407,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         found = materialise(small, "components")
         same = F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))
         if found.agg(F.count(F.lit(1)), same).first() == edges.agg(F.count(F.lit(1)), same).first():
+            discard(down, found)
             break
+        discard(down, edges)
         edges = found
     else:
         raise RuntimeError("components did not settle")
@@ -519,8 +523,11 @@ def _rows(docs: DataFrame, size: int, percent: int, seed: int = 0) -> DataFrame:
     shared = materialise(rows.mapInArrow(tidied(_shared), "key bigint, node bigint, mark int"), "join-shared")
     counts = materialise(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-counts")
     kept = materialise(_rarest(shared.join(counts, "key")), "join-kept")
+    discard(shared, counts)
     heads = kept.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = materialise(kept.join(materialise(heads, "join-heads"), "key"), "join-buckets")
+    heads = materialise(heads, "join-heads")
+    buckets = materialise(kept.join(heads, "key"), "join-buckets")
+    discard(kept, heads)
     met = buckets.select("node").distinct()
     full = summary.where("bits is not null").select("node", "n", "bits")
     full = materialise(full.join(met, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "join-bits")
@@ -550,7 +557,8 @@ def _link_components(buckets, roots, full, docs, nodes, size: int, percent: int,
         placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = materialise(placed.select("key", "node", "root", "members"), "join-placed")
         mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        open_ = placed.join(materialise(mixed, "join-mixed"), "key", "left_semi")
+        mixed = materialise(mixed, "join-mixed")
+        open_ = placed.join(mixed, "key", "left_semi")
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -559,6 +567,7 @@ def _link_components(buckets, roots, full, docs, nodes, size: int, percent: int,
         open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = open_.mapInArrow(tidied(_across(percent, most)), pair).groupBy("x", "y").agg(F.max("cut").alias("cut"))
         found = materialise(found, "join-across")
+        discard(placed, mixed)
         fresh = found.select("x", "y")
         if tested is not None:
             fresh = materialise(fresh.join(tested, ["x", "y"], "left_anti"), "join-fresh")
