@@ -18,7 +18,7 @@ import pyarrow as pa
 CACHE, ENTRY = 150 << 20, 200
 
 #: Bytes of text that are looked at together; more of them share their distinct pieces.
-RUN = 12 << 20
+RUN = 8 << 20
 #: Pieces that are encoded in one call.
 GROUP, TOGETHER = 200, 16
 #: Bytes of which a joined piece may consist: no white space and no lead byte of any.
@@ -81,7 +81,7 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.held = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
         new, ids, sizes = self._encode(new)
@@ -163,11 +163,15 @@ class Encoder:
         if new:
             self.held += more
             self._learn(new)
-        entry = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        # a run's ids and the pool's places fit 32 bits, as a run's bytes do
+        entry = np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))[pieces.indices.to_numpy()]
+        del pieces, distinct
         size = self.size[entry]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(self.start[entry] - upto[:-1], size) + np.arange(upto[-1])
-        return self.pool[where], upto[np.searchsorted(at, offsets)]
+        upto = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=upto[1:])
+        where = np.repeat(self.start[entry] - upto[:-1], size)
+        where += np.arange(upto[-1], dtype=np.int32)
+        return self.pool[where], upto[np.searchsorted(at, offsets)].astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
