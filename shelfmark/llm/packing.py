@@ -32,8 +32,8 @@ from shelfmark.llm.common import bounded, materialise, text_slices, tidied, tidy
 from shelfmark.llm.tokenize import encoder, forget
 
 CAPACITY, END = 1024, 2
-#: Rounds in which the pieces of one length are placed, and shares of lengths that a plan places at most.
-ROUNDS, STEPS = 64, 1 << 18
+#: Shares of lengths that a plan places at most.
+STEPS = 1 << 18
 #: Bytes of text that a task looks at together; those and the encoder's cache where workers must stay small.
 RUN, SMALL_RUN, SMALL_CACHE = 6 << 20, 1 << 20, 24 << 20
 
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(tidied(cut), PIECES)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS):
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64):
     """Places for histogram[length] pieces of each length, and the number of bins.
 
     Each round deals an equal share of every length, longest first. Of a share of several pieces those that the
@@ -131,9 +131,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY):
-    """The plan with the fewest bins of those in few and in many rounds; the fewer lengths, the more rounds."""
-    most = STEPS // max(1, len(histogram))
-    return min((plan(histogram, capacity, max(1, rounds)) for rounds in (most // 32, most // 4, most)), key=lambda found: found[1])
+    """The plan with the fewest bins of those in 1, 2, 4, ... rounds; the fewer lengths, the more rounds."""
+    most = max(1, STEPS // max(1, len(histogram)))
+    plans = (plan(histogram, capacity, 1 << k) for k in range(most.bit_length()))
+    return min(plans, key=lambda found: found[1])
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, lasting: bool = True) -> DataFrame:
