@@ -12,7 +12,9 @@ from shelfmark.functions import codec, paths
 from shelfmark.operators import artifacts, audit, delta, evidence, incremental, lease, paging, projection, tokens, winners
 from shelfmark.plans import fixtures as fx
 from shelfmark.schema import Context, Policy, Snapshot, is_component, is_int63, is_key_segment, is_sha256, is_uint64, violations
-from shelfmark.sources.tree import scan_self_check
+from shelfmark.sources import sinks
+from shelfmark.sources.adapter import SourceAdapter
+from shelfmark.sources.tree import local_folder, planted
 from shelfmark.streaming.leases import lease_stream_check
 
 _QUERIES: dict[str, Callable] = {}
@@ -717,11 +719,89 @@ def wall_time_micros(spark, d):
     return fx.table(spark, d, "events").select("event_id", codec.wall_micros(F.col("ts")).alias("micros"))
 
 
+def _tree(spark, what: str, *columns) -> DataFrame:
+    rows = planted(spark).relation(what)
+    return rows.select(F.array_join("locator", "/").alias("locator"), *columns)
+
+
+_NAME = "cast(name_bytes as string) as name"
+
+
 @query("""select * from (values ('nested/1001', '001.jpg', sha256('first'), 5::bigint), ('nested/1001', '002.jpg', sha256('second'), 6),
 ('1002', '001.jpg', sha256('first'), 5)) v(locator, name, sha256, size_bytes)""")
 def tree_scan(spark, d):
     """Files of a directory tree made for the purpose, frozen and read off its one walk."""
-    return scan_self_check(spark)
+    return _tree(spark, "files", F.expr(_NAME), "sha256", "size_bytes").where("name <> 'galleryinfo.txt'")
+
+
+@query("""select *, 'someone' as upload_account, epoch_us(timestamp '2024-01-02 03:04:00') as upload_time, epoch_us(timestamp '2024-02-03 04:05:00') as download_time
+from (values ('nested/1001', 1001::bigint, 'A title', 3::bigint, 2::bigint), ('1002', 1002, 'B', 2, 1)) v(locator, gid, title, source_file_count, page_count)""")
+def tree_galleries(spark, d):
+    """Metadata of the tree's galleries, read twice and counted."""
+    return _tree(spark, "galleries", "gid", "title", "source_file_count", "page_count", "upload_account", "upload_time", "download_time")
+
+
+@query("""select * from (values ('nested/1001', '001.jpg', 0), ('nested/1001', '002.jpg', 0), ('nested/1001', 'galleryinfo.txt', 0),
+('1002', '001.jpg', 0), ('1002', 'galleryinfo.txt', 0), ('1002', 'child', 1), ('1002', 'linked', 2)) v(locator, name, file_type)""")
+def tree_entries(spark, d):
+    """All direct entries, links and folders among them."""
+    return _tree(spark, "entries", F.expr(_NAME), "file_type")
+
+
+@query("""select * from (values ('nested/1001', 0, 'artist', 'first'), ('nested/1001', 1, '', 'plain')) v(locator, ordinal, namespace, value)""")
+def tree_tags(spark, d):
+    return _tree(spark, "tags", "ordinal", "namespace", "value")
+
+
+@query("""select * from (values ('galleries', 0, '1002', '1002'), ('galleries', 1, 'nested/1001', null), ('files', 0, '001.jpg', '001.jpg'), ('files', 1, '002.jpg', '002.jpg'),
+('files', 2, 'galleryinfo.txt', null), ('tags', 0, 'first', '0'), ('tags', 1, 'plain', null)) v(relation, page, item, next_after)""")
+def source_pages(spark, d):
+    """The adapter's pages of one item each, with their cursors, over a frozen tree."""
+    adapter, place = SourceAdapter(planted(spark)), ["nested", "1001"]
+    lists = {
+        "galleries": (lambda after: adapter.list_galleries(after, 1), F.array_join("locator", "/"), lambda x: "/".join(x)),
+        "files": (lambda after: adapter.list_files(place, after, 1), F.col("name_bytes").cast("string"), lambda x: bytes(x).decode()),
+        "tags": (lambda after: adapter.list_tags(place, after, 1), F.col("value"), str),
+    }
+    found = []
+    for relation, (page_after, item, shown) in lists.items():
+        after, terminal = None, False
+        while not terminal:
+            page = page_after(after)
+            items, after, terminal = [r[0] for r in page.items.select(item).collect()], page.next_after, page.terminal
+            number = sum(r[0] == relation for r in found)
+            found += [(relation, number, x, None if after is None else shown(after)) for x in items]
+    return spark.createDataFrame(found, "relation string, page int, item string, next_after string")
+
+
+@query("select conv_id, turn::bigint as turn from conversations where conv_id = (select min(conv_id) from conversations) and turn >= 1 and turn < 4")
+def tag_offset_page(spark, d):
+    """Three places of one list from place 1 on."""
+    rows = fx.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"))
+    first = rows.agg(F.min("conv_id")).first()[0]
+    return paging.offset_page(rows.where(F.col("conv_id") == first), "turn", 1, 3).items
+
+
+@query("select 's/' || lpad(s_suppkey::varchar, 9, '0') || '.cbz' as path_name, sha256(s_name) as artifact_sha256, 'seen' as signature from supplier")
+def projection_installed(spark, d):
+    """Pages of a relation appended to an intent, sealed, applied and made current."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
+    rows = fx.table(spark, d, "supplier").select(
+        key.alias("publication_key"), F.concat(F.lit("s/"), key, F.lit(".cbz")).alias("path_name"), F.lit("a").alias("artifact_locator"),
+        F.sha2("s_name", 256).alias("artifact_sha256"), F.lit(1).cast("bigint").alias("size_bytes"),
+    )
+    folder = local_folder(spark, "projection")
+    plan, receipt, after, terminal = sinks.Projection(folder), b"0123456789abcdef", None, False
+    with sinks.publication_guard(f"{folder}/lock"):
+        plan.begin(1, receipt)
+        while not terminal:
+            page = paging.keyset_page(rows, "publication_key", after, paging.PROJECTION_PAGE, paging.PROJECTION_PAGE)
+            plan.append_page(1, [r.asDict() for r in page.items.collect()])
+            after, terminal = page.next_after, page.terminal
+        plan.seal(1)
+        plan.apply(1)
+        plan.install(1, {r[0]: "seen" for r in plan.pending(spark).select("path_name").collect()})
+    return plan.current(spark).select("path_name", "artifact_sha256", "signature")
 
 
 @query(_TIMELINE_SQL)

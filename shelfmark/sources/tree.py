@@ -373,13 +373,21 @@ def plant(root: str, galleries: dict[str, dict]) -> None:
                 f.write(content)
 
 
-def scan_self_check(spark: SparkSession) -> DataFrame:
-    """The files of a small tree, planted in the scratch folder, which must be a folder for this."""
-    root = scratch(spark, "tree")
-    if not re.match("file:/|/", root):
-        raise RuntimeError("the tree source reads folders; spark.checkpoint.dir is none")
-    root = re.sub("^file:/+", "/", root)
-    plant(root, {"nested/1001": {"title": "A title", "tags": ["artist:first"], "files": {"002.jpg": b"second", "001.jpg": b"first"}}, "1002": {"title": "B", "tags": [], "files": {"001.jpg": b"first"}}})
-    rows = freeze(spark, root).relation("files")
-    rows = rows.select(F.array_join("locator", "/").alias("locator"), F.col("name_bytes").cast("string").alias("name"), "sha256", "size_bytes")
-    return rows.where(F.col("name") != METADATA_FILE)
+def local_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the scratch folder, for what reads and writes folders rather than tables."""
+    path = scratch(spark, name)
+    if not re.match("file:/|/", path):
+        raise RuntimeError("this takes a folder; spark.checkpoint.dir is none")
+    return re.sub("^file:/+", "/", path)
+
+
+def planted(spark: SparkSession) -> FrozenTree:
+    """A small tree, written for the purpose and frozen."""
+    root = local_folder(spark, "tree")
+    plant(root, {
+        "nested/1001": {"title": "A title", "tags": ["artist:first", "plain"], "files": {"002.jpg": b"second", "001.jpg": b"first"}},
+        "1002": {"title": "B", "tags": [], "files": {"001.jpg": b"first"}},
+    })
+    os.mkdir(os.path.join(root, "1002/child"))
+    os.symlink(os.path.join(root, "nested"), os.path.join(root, "1002/linked"))
+    return freeze(spark, root)
