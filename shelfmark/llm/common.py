@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for what runs inside; afterwards it is what it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession):
+    """Fewer whole texts at a time between the JVM and Python, whose buffers stay with the executor."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 # --- text arrays -----------------------------------------------------------------
 
 

@@ -69,7 +69,7 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 #: Texts whose dense counts are held at a time.
-ROWS = 256
+ROWS = 64
 
 
 def gram_runs(offsets: np.ndarray, data: np.ndarray):

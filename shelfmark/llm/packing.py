@@ -35,7 +35,7 @@ CAPACITY, END = 1024, 2
 #: Shares of lengths that a plan places at most.
 STEPS = 1 << 18
 #: Bytes of text that a task looks at together; those and the encoder's cache where workers must stay small.
-RUN, SMALL_RUN, SMALL_CACHE = 6 << 20, 1 << 20, 24 << 20
+RUN, SMALL_RUN, SMALL_CACHE = 6 << 20, 1 << 18, 12 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 

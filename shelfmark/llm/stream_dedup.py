@@ -33,8 +33,8 @@ STATE = {
     # one store a partition: without this each reserves disk ahead of need
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Files of arrivals that one micro-batch takes.
-FILES = 10_000
+#: Files of arrivals that one micro-batch takes, and arrivals of one state store.
+FILES, STORE = 10_000, 1_000_000
 #: Rows of one group whose bytes one task compares; larger groups are dealt to several.
 CHUNK = 1024
 
@@ -55,8 +55,11 @@ def run_state(spark: SparkSession, arrivals_path: str, schema, files_per_trigger
     With the checkpoint and out of an earlier run, only arrivals since then are read and its state goes on.
     """
     out, checkpoint = out or scratch(spark, "dedup-state"), checkpoint or scratch(spark, "dedup-stream")
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
+    # a store takes memory of its own, so there are no more than the arrivals or the cores need
+    rows = spark.read.schema(schema).parquet(arrivals_path).count()
+    settings = STATE | {"spark.sql.shuffle.partitions": str(max(2 * spark.sparkContext.defaultParallelism, -(-rows // STORE)))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
 
     def save(df: DataFrame, batch: int) -> None:  # overwriting: a batch that runs again leaves one copy
