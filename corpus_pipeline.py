@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import jaccard_join, langid, mixing, packing, stream_dedup
-from shelfmark.llm.common import discard, documents, materialise
+from shelfmark.llm.common import discard, documents, materialise, small_batches
 from shelfmark.llm.tokenize import tokenizer_path
 
 #: Four fifths of the tokens, each document once at most.
@@ -30,7 +30,8 @@ MIX = mixing.Mix(percent=80, max_epochs=1)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs)
+    with small_batches(spark):  # while the model is trained
+        return langid.accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs, size=5, percent=80)
+    with small_batches(spark):
+        return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2, lasting=False)
+    with small_batches(spark):
+        return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end=2, lasting=False)
 
 
 STAGES = [
