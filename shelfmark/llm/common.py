@@ -39,9 +39,12 @@ def setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
 def small_batches(spark: SparkSession):
-    """Fewer whole texts at a time between the JVM and Python, whose buffers stay with the executor."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Fewer whole texts, and bytes of them, at a time between the JVM and Python, whose buffers stay with the executor."""
+    arrow = "spark.sql.execution.arrow"
+    with setting(spark, f"{arrow}.maxRecordsPerBatch", "2000"), setting(spark, f"{arrow}.maxBytesPerBatch", "4MB"):
+        yield
 
 
 # --- text arrays -----------------------------------------------------------------
