@@ -8,9 +8,10 @@ templates, by gradient descent on the exact log likelihood (forward and backward
 and decoded by Viterbi for many texts side by side. Base spans always stay; a span of the field is added where
 it overlaps none of them.
 
-Words far from any evidence are outside under every labelling that could win, so texts are cut there:
-a word without a digit, sign or cue of its own or of its neighbours scores as a plain word, and runs
-of plain words are not decoded.
+Every word of a text is scored. What a word adds to the scores, its own and its neighbours', is looked up by its class,
+its shape and the cue it is. A word is an anchor where, whatever stands around it, no best labelling has it
+inside: outside scores above every other label by more than all transitions can give back. The best labelling of the text
+is then exactly that of the runs between anchors, which Viterbi decodes.
 
 Spans are in code points, the end exclusive.
 
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -225,37 +228,33 @@ class Field:
         return np.add.reduceat(self.emit[ids], np.cumsum(sizes) - sizes, axis=0)
 
     def viterbi(self, runs: list[list[list[int]]]) -> list[np.ndarray]:
-        """The best labels of each run; all runs take a step together. Ties go to the smaller label."""
+        """The best labels of each run."""
         if not runs:
             return []
-        if len(runs) > 1 and len(runs) * max(map(len, runs)) > 4_000_000:  # long runs apart from short ones
-            order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-            half = len(order) // 2
-            out = [None] * len(runs)
-            for part in (order[:half], order[half:]):
-                for i, path in zip(part, self.viterbi([runs[i] for i in part])):
-                    out[i] = path
-            return out
-        s = self.scores(runs)
         length = np.fromiter(map(len, runs), np.int64, len(runs))
+        path = self.paths(self.scores(runs), length, np.tile(self.first, (len(runs), 1)), np.zeros((len(runs), len(LABELS))))
+        return np.split(path, np.cumsum(length)[:-1])
+
+    def paths(self, s: np.ndarray, length: np.ndarray, opening: np.ndarray, closing: np.ndarray) -> np.ndarray:
+        """The best labels of runs of words in a row, with what each label adds as a run's first and last.
+
+        All runs take a step together. Ties go to the smaller label.
+        """
         begin = np.cumsum(length) - length
         order = np.argsort(-length, kind="stable")
         length, begin = length[order], begin[order]
-        best = s[begin] + self.first
-        back = np.zeros((len(runs), int(length[0]), len(LABELS)), np.int8)
-        for t in range(1, int(length[0])):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            through = best[:live, :, None] + self.move[None]
-            back[:live, t] = through.argmax(axis=1)
-            best[:live] = through.max(axis=1) + s[begin[:live] + t]
-        out: list = [None] * len(runs)
-        for i, k in enumerate(order.tolist()):
-            path = np.empty(length[i], np.int8)
-            path[-1] = best[i].argmax()
-            for t in range(int(length[i]) - 1, 0, -1):
-                path[t - 1] = back[i, t, path[t]]
-            out[k] = path
-        return out
+        best = s[begin] + opening[order]
+        back = np.zeros(s.shape, np.int8)
+        steps = [begin[: int(np.searchsorted(-length, -t, side="left"))] + t for t in range(1, int(length[0]))]
+        for at in steps:
+            through = best[: len(at), :, None] + self.move[None]
+            back[at] = through.argmax(axis=1)
+            best[: len(at)] = through.max(axis=1) + s[at]
+        path = np.empty(len(s), np.int8)
+        path[begin + length - 1] = (best + closing[order]).argmax(axis=1)
+        for at in reversed(steps):
+            path[at - 1] = back[at, path[at]]
+        return path
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -313,72 +312,114 @@ def trained(epochs: int = 60, rate: float = 0.5, penalty: float = 1e-4) -> Field
 # --- decoding whole texts ------------------------------------------------------------
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A word with evidence of its own: a digit or @, or a cue word. Everything else is a plain word.
-_EVIDENCE = re.compile(
-    r"[0-9@]|(?i:(?<![^\W_])(?:%s)(?![^\W_]))" % "|".join(re.escape(w) for words in CUES.values() for w in words.split())
-)
-#: Words to either side of evidence that are decoded with it.
-NEAR = 5
-
-
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words near evidence: spans of the words."""
-    out: list[list[tuple[int, int]]] = []
-    reach = -1
-    for m in _EVIDENCE.finditer(text):
-        if m.start() < reach:
-            continue
-        left, back = m.start(), 0
-        while left > 0 and back <= NEAR:
-            left -= 1
-            if text[left] in " \t\n\x0b\x0c\r" and left + 1 < len(text) and text[left + 1] not in " \t\n\x0b\x0c\r":
-                back += 1
-        words, after = [], 0
-        for w in _WORD.finditer(text, left):
-            words.append(w.span())
-            if w.start() > m.start():
-                if _EVIDENCE.search(w[0]):
-                    after = 0
-                    continue
-                after += 1
-                if after > NEAR:
-                    break
-        reach = words[-1][1] if words else m.end()
-        if out and words and words[0][0] <= out[-1][-1][0]:
-            words = _merge(out.pop(), words)
-        if words:
-            out.append(words)
-    return out
-
-
-def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return a + [w for w in b if w[0] > a[-1][0]]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Words that a task remembers, bytes of such a word, and classes, at most; bytes split, and words scored, at a time.
+WORDS, SHORT, CLASSES, PIECE, CHUNK = 200_000, 64, 50_000, 1 << 20, 1 << 16
+
+
+class Classes(dict):
+    """The class of each word (UTF-8): all words of one shape and cue score alike. 0 is no word, to either side of a text."""
+
+    def __init__(self, field: Field):
+        self.field, self.ids = field, {}
+        none = np.zeros((4, len(LABELS)))
+        #: By class: what a word adds to its own scores, to those of the word after it, of the second after it, of the one before it.
+        self.added = [none]
+
+    def __missing__(self, raw: bytes) -> int:
+        word, emit = raw.decode(), self.field.emit
+        own, cue = shape(word), _cues().get(word.strip(_TRIM).lower(), -1)
+        key = (tuple(own), cue)
+        if key not in self.ids:
+            own, none = np.array(own), np.zeros(len(LABELS))
+            ahead = [emit[3 * SHAPES + k * GROUPS + cue] if cue >= 0 else none for k in range(2)]
+            self.ids[key] = len(self.added)
+            self.added.append(np.stack([emit[own].sum(axis=0), emit[SHAPES + own].sum(axis=0) + ahead[0], ahead[1], emit[2 * SHAPES + own].sum(axis=0)]))
+        if len(raw) <= SHORT:
+            if len(self) >= WORDS:
+                self.clear()
+            self[raw] = self.ids[key]
+        return self.ids[key]
+
+    def of(self, text: str) -> list[np.ndarray]:
+        """The classes of all words of a text, split piece by piece."""
+        raw, out, a = text.encode(), [], 0
+        while a < len(raw):
+            space = _SPACE.search(raw, a + PIECE)
+            b = space.start() if space else len(raw)
+            words = raw[a:b].split()  # bytes part at ASCII white space alone
+            out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+            a = b
+        return out
 
 
-def added_spans(texts: list[str], base: list[dict], field: Field) -> list[dict]:
+def labelled_words(texts: list[str], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and label of each word that the best labelling of its text does not leave outside, in order."""
+    field, gap = classes.field, np.zeros(2, np.int32)
+    parts, begin, n = [gap], [], 2
+    for text in texts:
+        begin.append(n)
+        own = classes.of(text)
+        parts += [*own, gap]
+        n += sum(map(len, own)) + 2
+    ids = np.concatenate(parts)
+    own, after, second, before = np.stack(classes.added, axis=1)
+    # the most by which a label can be ahead of outside before a word is scored, and must not be behind it for what follows
+    rise = (field.move - field.move[:, :1]).max(axis=0)
+    bound = (field.move[:1] - field.move).min(axis=1)
+    at, scores, opens, closes = [], [], [], []
+    for lo in range(2, n - 2, CHUNK):
+        hi = min(lo + CHUNK, n - 2)
+        s = own[ids[lo:hi]] + after[ids[lo - 1 : hi - 1]] + second[ids[lo - 2 : hi - 2]] + before[ids[lo + 1 : hi + 1]]
+        opening, closing = ids[lo - 1 : hi - 1] == 0, ids[lo + 1 : hi + 1] == 0
+        ahead = s - s[:, :1] + np.where(opening[:, None], field.first - field.first[0], rise) - np.where(closing[:, None], 0, bound)
+        loose = np.flatnonzero((ids[lo:hi] != 0) & (ahead[:, 1:].max(axis=1) > -1e-9))
+        at.append(loose + lo)
+        scores.append(s[loose])
+        opens.append(opening[loose])
+        closes.append(closing[loose])
+    none = np.zeros(0, np.int64)
+    at = np.concatenate([none, *at])
+    if not len(at):
+        return none, none, none
+    first = np.flatnonzero(np.append(True, np.diff(at) > 1))
+    length = np.diff(np.append(first, len(at)))
+    opening = np.where(np.concatenate(opens)[first][:, None], field.first, field.move[0])
+    closing = np.where(np.concatenate(closes)[first + length - 1][:, None], 0, field.move[:, 0])
+    path = field.paths(np.concatenate(scores), length, opening, closing)
+    at, label = at[path > 0], path[path > 0]
+    text = np.searchsorted(begin, at, side="right") - 1
+    return text, at - np.array(begin, np.int64)[text], label
+
+
+def windows(text: str):
+    """Runs of words that are labelled together, as spans of the words: all words of the text are one run."""
+    yield (m.span() for m in _WORD.finditer(text))
+
+
+def added_spans(texts: list[str], base: list[dict], field: Field, classes: Classes | None = None) -> list[dict]:
     """Spans that the field adds to the base spans of each text, by kind."""
-    runs, places = [], []
-    for i, text in enumerate(texts):
-        for words in windows(text):
-            runs.append(features([text[a:b] for a, b in words]))
-            places.append((i, words))
     out: list[dict] = [{} for _ in texts]
-    for (i, words), path in zip(places, field.viterbi(runs)):
-        t = 0
-        while t < len(path):
-            label, end = path[t], t
-            while label and end + 1 < len(path) and path[end + 1] == label:
-                end += 1
-            if label:
-                a, b = words[t][0], words[end][1]
-                text = texts[i]
-                while b > a and text[b - 1] in ".,:;!?\"'":
-                    b -= 1
-                while a < b and text[a] in ".,:;!?\"'":
-                    a += 1
-                if b > a and not any(a < q and p < b for spans in base[i].values() for p, q in spans):
-                    out[i].setdefault(LABELS[label], []).append((a, b))
-            t = end + 1
+    text, place, label = (x.tolist() for x in labelled_words(texts, Classes(field) if classes is None else classes))
+    k = 0
+    while k < len(text):
+        i, spans = text[k], enumerate(w for run in windows(texts[text[k]]) for w in run)
+        taken = sorted(x for kind in base[i].values() for x in kind)
+        starts, reach = [p for p, _ in taken], list(accumulate((q for _, q in taken), max))
+        while k < len(text) and text[k] == i:
+            a, b = next(w for n, w in spans if n == place[k])
+            last = k
+            while last + 1 < len(text) and text[last + 1] == i and place[last + 1] == place[last] + 1 and label[last + 1] == label[k]:
+                last += 1
+                b = next(spans)[1][1]
+            while b > a and texts[i][b - 1] in ".,:;!?\"'":
+                b -= 1
+            while a < b and texts[i][a] in ".,:;!?\"'":
+                a += 1
+            met = bisect_left(starts, b)
+            if b > a and not (met and reach[met - 1] > a):
+                out[i].setdefault(LABELS[label[k]], []).append((a, b))
+            k = last + 1
     return out
 
 
@@ -392,12 +433,15 @@ def find(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         field = sent.value
+        classes = Classes(field)
         for batch in batches:
             names, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 500):
                 some = texts[lo : lo + 500]
                 base = [base_spans(x) for x in some]
-                added = added_spans(some, base, field)
+                if len(classes.added) > CLASSES:
+                    classes = Classes(field)
+                added = added_spans(some, base, field, classes)
                 digest = [hashlib.sha256(joined(b, KINDS).encode()).hexdigest() for b in base]
                 every = [joined({k: b.get(k, []) + a.get(k, []) for k in (*KINDS, NAME)}, (*KINDS, NAME)) for b, a in zip(base, added)]
                 counts = {f"n_{k}": pa.array([len(b[k]) for b in base], pa.int64()) for k in KINDS}

@@ -693,6 +693,37 @@ def test_windows_decode_as_the_whole_text(docs):
         pii.windows = whole
 
 
+def test_all_words_are_decoded_whatever_stands_near(monkeypatch):
+    """Spans are those of one Viterbi run over all features of the whole text, also far from digits, signs and cues."""
+    field, strip = pii.trained(), ".,:;!?\"'"
+
+    def plain(t, base):
+        words, out = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)], {}
+        path = field.viterbi([pii.features([t[a:b] for a, b in words])])[0].tolist() if words else []
+        i = 0
+        while i < len(path):
+            end = i
+            while end + 1 < len(path) and path[end + 1] == path[i]:
+                end += 1
+            a, b = words[i][0], words[end][1]
+            a, b = a + len(t[a:b]) - len(t[a:b].lstrip(strip)), b - len(t[a:b]) + len(t[a:b].rstrip(strip))
+            if path[i] and b > a and not any(a < q and p < b for s in base.values() for p, q in s):
+                out.setdefault(pii.LABELS[path[i]], []).append((a, b))
+            i = end + 1
+        return out
+
+    rng = random.Random(4)
+    vocab = "the of Anna Ben Clara MILLER name Mr. + ( ) - = a+b (foo) 12 3456 call @ % ++-- beta Dr. word, é Ünder +-( =%= a.b.c.d .... 4111 a@b.co 10.0.0.1 host".split()
+    some = ["", " ", ") é (foo) ++--"] + [rng.choice([" ", "\n", " \u2003 "]).join(rng.choices(vocab, k=rng.randrange(1, 40))) for _ in range(600)]
+    base = [pii.base_spans(t) for t in some]
+    found = pii.added_spans(some, base, field)
+    assert found[2] == {"phone": [(10, 14)]} and found == [plain(t, b) for t, b in zip(some, base)]
+    monkeypatch.setattr(pii, "PIECE", 7)
+    monkeypatch.setattr(pii, "CHUNK", 5)
+    monkeypatch.setattr(pii, "WORDS", 3)
+    assert pii.added_spans(some, base, field) == found
+
+
 def test_personal_data_rows(spark, odd, empty):
     t = "Please contact Anna Miller or call +1 (555) 010-9999, é a.b@c.example.com 10.0.0.1 and 4111 1111 1111 1111"
     r = pii.find(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).first()
