@@ -547,6 +547,45 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.classify(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """Model and thresholds come from all labels that may be learned from, in several shards, the same ones each time."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(12_000):
+        toxic = int(i % 3 == 0)
+        rows.append((i, " ".join(rng.choices(words, k=6) + (["zzz" if i % 2 else "yyy"] if toxic else [])), "en" if i % 5 else None))
+        marks += [(i, toxic)] * (2 if i == 9 else 1)
+    marks += [(None, 1), (99_999, 1), (3, None), (4, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    learnable = Counter(t for i, t in marks if i is not None and i < 12_000 and t in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert learnable[1] > 2_500 and learnable[0] > 5_000  # more than a sample of either class held once
+    monkeypatch.setattr(toxicity, "SHARD", 3_000)
+    table = toxicity.labelled(docs, labels)
+    sums = toxicity._summed(table, toxicity._counted)
+    model = toxicity.train(docs, labels)
+    judged = Counter()
+    for _, _, t, n in toxicity._logits(table, model, True):
+        judged[t] += n
+    fitted = dict(enumerate(sums[2 * toxicity.ROWS : 2 * toxicity.ROWS + 2]))
+    assert {t: fitted[t] + judged[t] for t in (0, 1)} == dict(learnable) and min(judged.values()) > 0
+    assert sums[2 * toxicity.ROWS + 2] > 1 and sums[-1] == sum(zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None for i, _, lang in rows)
+    found = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert sum(found[i]["predicted"] == (i % 3 == 0) for i in found) >= 0.99 * len(found)
+    again = toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert all(np.array_equal(model.parameters[k], again.parameters[k]) for k in model.parameters) and model.thresholds == again.thresholds
+
+
+def test_toxicity_of_few_labels_with_a_document(spark):
+    """Many labels, of which but a few have a document: these alone teach, whichever part they would fall in."""
+    docs = spark.createDataFrame([(i, "bad" if i % 2 else "good") for i in range(4)], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    for own in (0, 1, 2, 3):
+        labels = spark.createDataFrame([(i, 1) for i in range(100, 200)] + [(i, i % 2) for i in range(4) if i % 2 == 0 or i == own], "doc_id bigint, toxic int")
+        taught = {i % 2 for i in range(4) if zlib.crc32(str(i).encode()) % 4 != 2 and (i % 2 == 0 or i == own)}
+        assert (toxicity.train(docs, labels) is not None) == (taught == {0, 1})
+
+
 def plain_logit(p, words):
     """The convolution of one text in plain loops: words are rows of three table places; two blank words follow them."""
     vectors = [sum(p["embed"][k].astype(float) for k in w) for w in words] + [np.zeros(toxicity.WIDTH)] * 2
